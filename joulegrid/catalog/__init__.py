@@ -1,6 +1,6 @@
 """All registered queries with their oracle texts."""
 
-from joulegrid.catalog import core  # noqa: F401
+from joulegrid.catalog import anomalies, core, forecasts  # noqa: F401
 from joulegrid.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -535,7 +535,7 @@ def _(t):
 # --- scalar functions ---------------------------------------------------------------
 
 @query("calendar_features", with_tables(
-    f"""SELECT sensor_id, ts, CAST(hour(lts) AS INTEGER) AS hour, CAST(dayofweek(lts) AS INTEGER) AS day_of_week, CAST(day(lts) AS INTEGER) AS day,
+    f"""SELECT sensor_id, ts, CAST(hour(lts) AS INTEGER) AS hour, CAST(dayofweek(lts) AS INTEGER) AS day_of_week, CAST(day(lts) AS INTEGER) AS day_of_month,
       CAST(month(lts) AS INTEGER) AS month, dayofweek(lts) IN (0, 6) AS is_weekend,
       {r('sin(2 * pi() * hour(lts) / 24)', 'hour_sin')}, {r('cos(2 * pi() * hour(lts) / 24)', 'hour_cos')},
       {r('sin(2 * pi() * dayofweek(lts) / 7)', 'dow_sin')}, {r('cos(2 * pi() * dayofweek(lts) / 7)', 'dow_cos')},

@@ -52,7 +52,7 @@ def cyclic(value: Column, period: int) -> tuple[Column, Column]:
 
 
 CALENDAR_COLUMNS = [
-    "hour", "day_of_week", "day", "month", "is_weekend",
+    "hour", "day_of_week", "day_of_month", "month", "is_weekend",
     "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos",
 ]
 

@@ -19,6 +19,46 @@ def bracket(value: Column) -> Column:
     return F.percentile_approx(value.cast("double"), ends, _ACCURACY)
 
 
+def exact_percentiles(rows: DataFrame, value: str, percents: list[float]) -> list[float]:
+    """Exact percentiles (linear interpolation) of one column over the whole table.
+
+    One pass brackets every percentile by a sketch, a second counts what lies below and
+    inside the brackets; only those few numbers reach the driver.
+    """
+    x = F.col(value).cast("double")
+    present = rows.select(x.alias("_x")).where("_x IS NOT NULL")
+    probabilities = [q / 100 for q in percents]
+    ends = [min(1.0, max(0.0, p + side * _MARGIN)) for p in probabilities for side in (-1, 1)]
+    row = present.agg(
+        F.count("*"), F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), F.lit(_ACCURACY)), F.min("_x"), F.max("_x")
+    ).first()
+    total, marks = row[0], row[1]
+    if not total:
+        return []
+    # the outermost marks must enclose the extremes themselves
+    lows = [row[2] if p <= _MARGIN else marks[2 * i] for i, p in enumerate(probabilities)]
+    highs = [row[3] if p >= 1 - _MARGIN else marks[2 * i + 1] for i, p in enumerate(probabilities)]
+    below = present.agg(*[F.count_if(F.col("_x") < low) for low in lows]).first()
+    hits = F.array_compact(
+        F.array(*[F.when(F.col("_x").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(lows, highs))])
+    )
+    counted = present.select("_x", F.explode(hits).alias("_i")).groupBy("_i", "_x").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_i").orderBy("_x"))
+    offset = F.get(F.array(*[F.lit(b) for b in below]), F.col("_i"))
+    ranked = counted.withColumn("_upto", upto + offset)
+    spots = [p * (total - 1) for p in probabilities]
+
+    def at(ranks: list[int]) -> Column:
+        rank = F.get(F.array(*[F.lit(k + 1) for k in ranks]), F.col("_i"))
+        return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_x")))
+
+    found = ranked.groupBy("_i").agg(
+        at([int(s) for s in spots]).alias("lo"), at([min(int(s) + 1, total - 1) for s in spots]).alias("hi")
+    ).collect()
+    by_index = {f["_i"]: (f["lo"], f["hi"]) for f in found}
+    return [by_index[i][0] + (by_index[i][1] - by_index[i][0]) * (s - int(s)) for i, s in enumerate(spots)]
+
+
 def array_median(values: Column) -> Column:
     """Median of a small array without NULLs; NULL for an empty one."""
     ordered, size = F.sort_array(values), F.size(values)
