@@ -65,7 +65,8 @@ def recall_by_type(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFr
     hits = truth.join(found, KEYS).groupBy(*keys, "anomaly_type").agg(F.count("*").alias("_tp"))
     totals = counts_by_type(truth)
     if keys:
-        totals = predicted.select(*keys).distinct().join(totals, F.lit(True))
+        per_type = totals.agg(F.collect_list(F.struct("anomaly_type", "n"))).scalar()  # six entries
+        totals = predicted.select(*keys).distinct().select(*keys, F.inline(per_type))
     joined = totals.join(hits, [*keys, "anomaly_type"], "left").withColumn("tp", F.coalesce("_tp", F.lit(0)).cast("long"))
     return joined.select(*keys, "anomaly_type", "n", "tp", F.try_divide(F.col("tp").cast("double"), F.col("n")).alias("recall"))
 

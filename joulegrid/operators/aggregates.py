@@ -221,14 +221,23 @@ def energy_intensity(readings: DataFrame, sensors: DataFrame, buildings: DataFra
     )
 
 
-def attribute_correlations(comparison: DataFrame, buildings: DataFrame, attributes: list[str]) -> DataFrame:
-    """Correlation of the mean reading with each numeric building attribute, plus its filled count."""
+def attribute_correlations(
+    comparison: DataFrame, buildings: DataFrame, attributes: list[str], count_only: list[str] | None = None
+) -> DataFrame:
+    """Correlation of the mean reading with each numeric building attribute, plus its filled count.
+
+    For ``count_only`` attributes r stays NULL and only the filled count is reported.
+    """
+    count_only = count_only or []
+    names = [*attributes, *count_only]
     wide = comparison.select("building_id", "mean_kwh").join(
-        buildings.select("building_id", *[F.col(a).cast("double").alias(a) for a in attributes]), "building_id"
+        buildings.select("building_id", *[F.col(a).cast("double").alias(a) for a in names]), "building_id"
     )
-    pairs = wide.unpivot(["building_id", "mean_kwh"], attributes, "attribute", "value")
+    pairs = wide.unpivot(["building_id", "mean_kwh"], names, "attribute", "value")
     r, n = stats.pearson(F.col("value"), F.col("mean_kwh"))
-    return pairs.groupBy("attribute").agg(r.alias("r"), n.alias("n_pairs"), F.count("value").alias("populated"))
+    return pairs.groupBy("attribute").agg(
+        F.when(~F.col("attribute").isin(count_only), r).alias("r"), n.alias("n_pairs"), F.count("value").alias("populated")
+    )
 
 
 def weather_correlations(joined: DataFrame, measures: list[str]) -> DataFrame:
@@ -331,7 +340,7 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
 
 
 def alert_pivot(alerts: DataFrame, row: Column, columns: str, values: list[str]) -> DataFrame:
-    return alerts.groupBy(row).pivot(columns, values).agg(F.count("*")).fillna(0, subset=values)
+    return alerts.groupBy(row).pivot(columns, values).agg(F.count(F.lit(1))).fillna(0, subset=values)
 
 
 def alerts_per_month(alerts: DataFrame, first_month: str, last_month: str) -> DataFrame:
