@@ -35,9 +35,10 @@ def exact_percentiles(rows: DataFrame, value: str, percents: list[float]) -> lis
     total, marks = row[0], row[1]
     if not total:
         return []
-    # the outermost marks must enclose the extremes themselves
-    lows = [row[2] if p <= _MARGIN else marks[2 * i] for i, p in enumerate(probabilities)]
-    highs = [row[3] if p >= 1 - _MARGIN else marks[2 * i + 1] for i, p in enumerate(probabilities)]
+    # in a small table the margin is less than one rank, so everything is inside
+    small = total < _ACCURACY
+    lows = [row[2] if small or p <= _MARGIN else marks[2 * i] for i, p in enumerate(probabilities)]
+    highs = [row[3] if small or p >= 1 - _MARGIN else marks[2 * i + 1] for i, p in enumerate(probabilities)]
     below = present.agg(*[F.count_if(F.col("_x") < low) for low in lows]).first()
     hits = F.array_compact(
         F.array(*[F.when(F.col("_x").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(lows, highs))])
