@@ -54,7 +54,7 @@ def ridge(train: DataFrame, alpha: float) -> LinearRegression:
     Spark minimises the mean of squares and divides the penalty by the label's deviation,
     so alpha is rescaled by both.
     """
-    count, spread = train.agg(F.count("*"), F.stddev_samp(LABEL)).first()
+    count, spread = train.agg(F.count("*"), F.stddev_pop(LABEL)).first()
     penalty = alpha * (spread or 1.0) / max(count, 1)
     return LinearRegression(
         featuresCol="features", labelCol=LABEL, predictionCol=OUTPUT, regParam=penalty,
