@@ -145,36 +145,42 @@ def fit(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SE
 
 # --- score --------------------------------------------------------------------------
 
+def _packed(forest: pd.DataFrame) -> list[tuple]:
+    """Arrays per tree. A leaf points to itself, so all rows can take the same number of steps."""
+    trees = []
+    for _, tree in forest.sort_values(["tree", "node"]).groupby("tree"):
+        leaf = tree["feature"].to_numpy() < 0
+        own = tree["node"].to_numpy(dtype=np.int64)
+        left, right = (np.where(leaf, own, tree[side].to_numpy(dtype=np.int64)) for side in ("left", "right"))
+        depth = np.zeros(len(own), dtype=np.int64)
+        for node in np.flatnonzero(~leaf):  # parents come before their children
+            depth[left[node]] = depth[right[node]] = depth[node] + 1
+        feature = np.where(leaf, 0, tree["feature"].to_numpy(dtype=np.int64))
+        trees.append((feature, tree["threshold"].to_numpy(), left, right, tree["path"].to_numpy(), int(depth.max())))
+    return trees
+
+
 def score(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """Add ``score`` = 2^(-mean path / c(size)); higher is more anomalous.
 
     The node table has at most trees x (2 x 256 - 1) rows, so it is broadcast.
     """
-    forest = nodes.toPandas()
-    packed = []
-    for _, tree in forest.sort_values(["tree", "node"]).groupby("tree"):
-        packed.append(tuple(tree[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(nodes.toPandas()))
     normal = expected_path(size) or 1.0
 
     @F.pandas_udf("double")
     def depth_score(scaled: pd.Series) -> pd.Series:
-        points = np.vstack(scaled.to_numpy()) if len(scaled) else np.empty((0, len(FEATURES)))
+        if not len(scaled):
+            return pd.Series([], dtype=float)
+        points = np.vstack(scaled.to_numpy())
+        flat, starts = points.ravel(), np.arange(len(points), dtype=np.int64) * points.shape[1]
         total = np.zeros(len(points))
-        every = np.arange(len(points))
-        for feature, threshold, left, right, path in shared.value:
+        for feature, threshold, left, right, path, levels in shared.value:
             at = np.zeros(len(points), dtype=np.int64)
-            moving = every
-            while len(moving):
-                column = feature[at[moving]]
-                inner = column >= 0
-                moving = moving[inner]
-                if not len(moving):
-                    break
-                here = at[moving]
-                below = points[moving, column[inner]] <= threshold[here]
-                at[moving] = np.where(below, left[here], right[here])
-            total += path[at]
+            for _ in range(levels):
+                below = flat.take(starts + feature.take(at)) <= threshold.take(at)
+                at = np.where(below, left.take(at), right.take(at))
+            total += path.take(at)
         return pd.Series(np.exp2(-total / len(shared.value) / normal))
 
     return rows.withColumn("score", depth_score("scaled"))

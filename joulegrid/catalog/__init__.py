@@ -1,6 +1,6 @@
 """All registered queries with their oracle texts."""
 
 from joulegrid.catalog import anomalies, core, forecasts, sources  # noqa: F401
-from joulegrid.catalog.registry import ORACLES, QUERIES
+from joulegrid.catalog.registry import BUILDERS, ORACLES, QUERIES
 
-__all__ = ["QUERIES", "ORACLES"]
+__all__ = ["QUERIES", "ORACLES", "BUILDERS"]

@@ -9,6 +9,7 @@ from joulegrid.catalog.forecasts import _X
 from joulegrid.catalog.registry import query, r
 from joulegrid.catalog.standins import PERIODS, Tables, define, with_tables
 from joulegrid.operators import aggregates as ag, joins, lookups, series as ser
+from joulegrid.session import written
 from joulegrid.sources import tables
 
 _W = "(PARTITION BY sensor_id ORDER BY ts)"
@@ -192,7 +193,7 @@ def _(t):
 @query("forest_scores")
 def _(t):
     """Isolation scores by a forest fitted on the training period (rows only: random trees)."""
-    rows = forest.complete(forest.features(t.dense()))
+    rows = written(forest.complete(forest.features(t.dense())))
     train = rows.where(lookups.in_period(F.col("ts"), *PERIODS["train"]))
     scales = forest.scaling(train)
     nodes = forest.fit(forest.with_scaled(train, scales))

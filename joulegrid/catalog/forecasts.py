@@ -124,14 +124,14 @@ _NAIVE_JOIN = "JOIN dense d ON d.sensor_id = f.sensor_id AND d.ts = f.target_ts
     f"""SELECT {_NAIVE_OUT} FROM (SELECT * FROM features_dense WHERE {_READY}
       QUALIFY origin_ts = max(origin_ts) OVER (PARTITION BY sensor_id)) f {_NAIVE_JOIN}""", "features_dense", "dense"))
 def _(t):
-    return jobs.predict_latest(feat.feature_table(t.dense(), static(t)), t.dense(), "seasonal_naive_24h")
+    return jobs.predict_latest(feat.origins(t.dense(), static(t)), t.dense(), "seasonal_naive_24h")
 
 
 @query("forecast_backfill", with_tables(
     f"""SELECT {_NAIVE_OUT} FROM (SELECT * FROM features_dense WHERE {_READY}
       AND origin_ts >= TIMESTAMP '2024-01-20' AND origin_ts < TIMESTAMP '2024-01-25') f {_NAIVE_JOIN}""", "features_dense", "dense"))
 def _(t):
-    return jobs.backfill(feat.feature_table(t.dense(), static(t)), t.dense(), "seasonal_naive_24h", *PERIODS["validation"])
+    return jobs.backfill(feat.origins(t.dense(), static(t)), t.dense(), "seasonal_naive_24h", *PERIODS["validation"])
 
 
 # --- metrics ------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from joulegrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def present(rows: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = build.__doc__
         QUERIES[name] = run
+        BUILDERS[name] = build
         if sql is not None:
             ORACLES[name] = sql
         return build

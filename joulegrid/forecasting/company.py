@@ -157,7 +157,7 @@ def forecast(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast rows, warnings, rejections). Only ``model.transform`` is called, nothing is fitted."""
     static, readings, rejections = validate(buildings, energy)
-    request = feat.latest_request(feat.feature_table(readings, static))
+    request = feat.latest_request(feat.origins(readings, static))
     # an unusable history shows as a company without any request row
     unusable = static.select(F.col("sensor_id").alias("building_code")).join(
         request.select(F.col("sensor_id").alias("building_code")).distinct(), "building_code", "left_anti"

@@ -11,8 +11,9 @@ LAG_COLUMNS = [f"lag_{k}" for k in ser.LAGS]
 ROLLING_COLUMNS = ["rolling_24h_mean", "rolling_24h_std", "rolling_168h_mean"]
 IMPUTED = ["number_of_floors", "occupants"]
 STATIC = ["building_id", "site_id", "tz", "area_sqm", "primary_use", *IMPUTED]
-# floors and occupants may be missing, they are imputed by the models
-REQUIRED_FEATURES = [*cal.CALENDAR_COLUMNS, *LAG_COLUMNS, *ROLLING_COLUMNS, "area_sqm", "primary_use", "horizon"]
+# floors and occupants may be missing, they are imputed by the models; horizon and the
+# calendar columns of an origin are never NULL, so they need no check
+REQUIRED_FEATURES = [*LAG_COLUMNS, *ROLLING_COLUMNS, "area_sqm", "primary_use"]
 REQUIRED = [*REQUIRED_FEATURES, "target_kwh"]
 LOOKBACK_HOURS = max(ser.LAGS)
 
@@ -33,18 +34,24 @@ def origins(readings: DataFrame, static: DataFrame, chunk_hours: int = ser.CHUNK
 
     The 24-fold expansion comes after this filter, so it only meets daily origins.
     """
-    chunked = ser.chunked_grid(readings, LOOKBACK_HOURS, max(ser.HORIZONS), chunk_hours)
+    chunked = ser.chunked_grid(readings, LOOKBACK_HOURS, max(ser.HORIZONS), chunk_hours, static)
     filled = ser.add_targets(ser.add_rolling(ser.add_lags(chunked)))
     targets = [f"target_h{h}" for h in ser.HORIZONS]
-    hourly = ser.own_rows(filled, *LAG_COLUMNS, *ROLLING_COLUMNS, *targets).withColumnRenamed("ts", "origin_ts")
-    return lookups.local_midnight(hourly.join(static, "sensor_id"), "origin_ts", "tz")
+    midnights = ser.own_rows(filled.where("is_origin"), *LAG_COLUMNS, *ROLLING_COLUMNS, *targets)
+    return midnights.withColumnRenamed("ts", "origin_ts").join(static, "sensor_id")
 
 
-def feature_table(readings: DataFrame, static: DataFrame, chunk_hours: int = ser.CHUNK_HOURS) -> DataFrame:
-    """All (origin, horizon) rows with calendar features of the target hour; nothing dropped."""
+def expand(origin_rows: DataFrame) -> DataFrame:
+    """24 rows per origin with the calendar features of their target hour."""
     keep = ["sensor_id", "origin_ts", *LAG_COLUMNS, *ROLLING_COLUMNS, *STATIC]
-    melted = ser.melt_horizons(origins(readings, static, chunk_hours), keep)
-    return melted.select("*", *cal.calendar_columns(cal.local(F.col("target_ts"), F.col("tz"))))
+    melted = ser.melt_horizons(origin_rows, keep)
+    placed = melted.withColumn("_local", cal.local(F.col("target_ts"), F.col("tz")))
+    return placed.select("*", *cal.calendar_columns(F.col("_local"))).drop("_local")
+
+
+def feature_table(readings: DataFrame, static: DataFrame, chunk_hours: int = ser.CHUNK_HOURS) -> DataFrame:
+    """All (origin, horizon) rows; nothing dropped."""
+    return expand(origins(readings, static, chunk_hours))
 
 
 def with_split(table: DataFrame, periods: dict[str, tuple]) -> DataFrame:
@@ -60,14 +67,21 @@ def training_rows(table: DataFrame, periods: dict[str, tuple]) -> DataFrame:
     return lookups.complete_cases(with_split(table, periods), REQUIRED)
 
 
-def request_rows(table: DataFrame) -> DataFrame:
-    """Rows a model can score: complete but for the target."""
-    return lookups.complete_cases(table, REQUIRED_FEATURES)
+def usable(origin_rows: DataFrame) -> DataFrame:
+    """Origins a model can score: complete but for the targets."""
+    return lookups.complete_cases(origin_rows, REQUIRED_FEATURES)
+
 
+def latest_request(origin_rows: DataFrame) -> DataFrame:
+    """The latest usable origin of every sensor, expanded to its 24 horizons.
 
-def latest_request(table: DataFrame) -> DataFrame:
-    return lookups.latest_origin(request_rows(table))
+    One combining aggregate: partial maxima are taken before the shuffle and nothing is joined back.
+    """
+    rest = [c for c in origin_rows.columns if c != "sensor_id"]
+    latest = usable(origin_rows).groupBy("sensor_id").agg(F.max_by(F.struct(*rest), "origin_ts").alias("_r"))
+    return expand(latest.select("sensor_id", "_r.*"))
 
 
-def range_request(table: DataFrame, start, end) -> DataFrame:
-    return request_rows(table).where(lookups.in_period(F.col("origin_ts"), start, end))
+def range_request(origin_rows: DataFrame, start, end) -> DataFrame:
+    """All usable origins of a half-open range."""
+    return expand(usable(origin_rows).where(lookups.in_period(F.col("origin_ts"), start, end)))

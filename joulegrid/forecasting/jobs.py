@@ -48,14 +48,14 @@ def prediction_rows(scored: DataFrame, name: str, version: str = VERSION) -> Dat
     )
 
 
-def predict_latest(table: DataFrame, readings: DataFrame, name: str, model: PipelineModel | None = None) -> DataFrame:
+def predict_latest(origins: DataFrame, readings: DataFrame, name: str, model: PipelineModel | None = None) -> DataFrame:
     """The next 24 hours of every sensor from its latest usable origin."""
-    return prediction_rows(score(feat.latest_request(table), readings, name, model), name)
+    return prediction_rows(score(feat.latest_request(origins), readings, name, model), name)
 
 
-def backfill(table: DataFrame, readings: DataFrame, name: str, start, end, model: PipelineModel | None = None) -> DataFrame:
+def backfill(origins: DataFrame, readings: DataFrame, name: str, start, end, model: PipelineModel | None = None) -> DataFrame:
     """Forecasts of every origin in a half-open range, by a model that is already fitted."""
-    return prediction_rows(score(feat.range_request(table, start, end), readings, name, model), name)
+    return prediction_rows(score(feat.range_request(origins, start, end), readings, name, model), name)
 
 
 def store_predictions(spark: SparkSession, path: str, predictions: DataFrame) -> dict[str, int]:

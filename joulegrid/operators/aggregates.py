@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.functions import calendar as cal, stats
 from joulegrid.functions.medians import bracket, with_exact_median
+from joulegrid.operators.joins import bounded
 
 KWH = "consumption_kwh"
 
@@ -89,7 +90,7 @@ def buckets_from_rollup(rollup: DataFrame, granularity: str) -> DataFrame:
 # --- local-time profiles ----------------------------------------------------------
 
 def _local(readings: DataFrame, resolved: DataFrame) -> DataFrame:
-    zones = resolved.select("sensor_id", "timezone")
+    zones = bounded(resolved.select("sensor_id", "timezone"))
     return readings.join(zones, "sensor_id").withColumn("_local", cal.local(F.col("ts"), F.col("timezone")))
 
 

@@ -1,16 +1,29 @@
 """Joins between readings, dimensions, weather, forecasts and truth.
 
-No join is hinted. Dimension tables are broadcast when Spark's own size estimate allows;
-beyond that the sort join applies, with adaptive splitting of skewed keys.
+A dimension is broadcast to the facts only after its rows were counted; beyond the limit the
+sort join applies, with adaptive splitting of skewed keys. Fact-to-fact joins are never hinted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from joulegrid.functions import calendar as cal
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def bounded(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` marked for broadcast if its counted rows fit ``limit``, else unchanged.
+
+    Spark's own estimate multiplies the sizes of joined dimensions, so it would rather shuffle
+    the facts than broadcast a small joined dimension.
+    """
+    width = 16 + sum(40 if isinstance(f.dataType, T.StringType) else 16 for f in side.schema.fields)
+    return F.broadcast(side) if side.count() * width <= limit else side
+
+
 def with_dimensions(readings: DataFrame, sensors: DataFrame, buildings: DataFrame, sites: DataFrame) -> DataFrame:
     """Readings with building attributes and zone; unmatched readings keep NULLs."""
     attributes = (
@@ -18,18 +31,18 @@ def with_dimensions(readings: DataFrame, sensors: DataFrame, buildings: DataFram
         .join(buildings.select("building_id", "site_id", "primary_use", "area_sqm"), "building_id", "left")
         .join(sites.select("site_id", F.col("timezone").alias("tz")), "site_id", "left")
     )
-    return readings.join(attributes, "sensor_id", "left")
+    return readings.join(bounded(attributes), "sensor_id", "left")
 
 
 def drop_unmatched(facts: DataFrame, dimension: DataFrame, code: str, key: str) -> DataFrame:
     """Facts whose code exists in the dimension, with the dimension's key in its place."""
-    return facts.join(dimension.select(code, key), code).drop(code)
+    return facts.join(bounded(dimension.select(code, key)), code).drop(code)
 
 
 def site_totals(readings: DataFrame, resolved: DataFrame) -> DataFrame:
     """Site total per hour, summed before any further join."""
     return (
-        readings.join(resolved.select("sensor_id", "site_id"), "sensor_id")
+        readings.join(bounded(resolved.select("sensor_id", "site_id")), "sensor_id")
         .groupBy("site_id", "ts")
         .agg(F.sum("consumption_kwh").cast("double").alias("site_kwh"))
     )

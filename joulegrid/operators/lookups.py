@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.functions import calendar as cal
 from joulegrid.functions.zones import to_utc_argument
+from joulegrid.operators.joins import bounded
 
 MAX_TOP = 100
 
@@ -121,7 +122,7 @@ def alert_page(alerts: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame
 
 
 def building_alerts(alerts: DataFrame, resolved_sensors: DataFrame) -> DataFrame:
-    return alerts.join(resolved_sensors.select("sensor_id", "building_id"), "sensor_id")
+    return alerts.join(bounded(resolved_sensors.select("sensor_id", "building_id")), "sensor_id")
 
 
 def alert_context(alerts: DataFrame, readings: DataFrame, hours: int) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.functions import calendar as cal
 
-CHUNK_HOURS = 8_760
+# with the widest halo a chunk stays below the 4,096 rows a window keeps in its fast buffer
+CHUNK_HOURS = 3_648
 
 LAGS = (1, 2, 3, 24, 48, 168)
 HORIZONS = tuple(range(1, 25))
@@ -34,31 +35,54 @@ def _hours(readings: DataFrame) -> DataFrame:
     )
 
 
-def _grid_rows(hours: DataFrame, chunk_hours: int) -> DataFrame:
-    """Every hour between a sensor's first and last row, generated chunk by chunk."""
+def _grid_rows(hours: DataFrame, chunk_hours: int, zones: DataFrame | None = None) -> DataFrame:
+    """Every hour between a sensor's first and last row, generated chunk by chunk.
+
+    With ``zones`` (sensor_id, tz) each hour also knows whether it is a local midnight. The zone
+    joins one row per sensor here, never the readings.
+    """
     spans = hours.groupBy("sensor_id").agg(F.min("hour_no").alias("_first"), F.max("hour_no").alias("_last"))
+    carried = []
+    if zones is not None:
+        spans, carried = spans.join(zones.select("sensor_id", "tz"), "sensor_id"), ["tz"]
     chunks = spans.withColumn(
         "_c", F.explode(F.sequence(_chunk_of(F.col("_first"), chunk_hours), _chunk_of(F.col("_last"), chunk_hours)))
     )
+    # a few bytes per chunk become thousands of rows: a fixed number of partitions keeps the
+    # adaptive planner from merging them into a handful of tasks
+    partitions = int(hours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(partitions, "sensor_id", "_c")
     start = F.greatest(F.col("_first"), F.col("_c") * chunk_hours)
     end = F.least(F.col("_last"), F.col("_c") * chunk_hours + (chunk_hours - 1))
-    return chunks.select("sensor_id", F.explode(F.sequence(start, end)).alias("hour_no"))
+    rows = chunks.select("sensor_id", *carried, F.explode(F.sequence(start, end)).alias("hour_no"))
+    rows = rows.withColumn("consumption_kwh", F.lit(None).cast(hours.schema["consumption_kwh"].dataType))
+    if zones is None:
+        return rows
+    midnight = F.hour(cal.local(cal.from_hour_number(F.col("hour_no")), F.col("tz"))) == 0
+    return rows.withColumn("is_origin", midnight).drop("tz")
 
 
-def chunked_grid(readings: DataFrame, before: int, after: int, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+def chunked_grid(
+    readings: DataFrame, before: int, after: int, chunk_hours: int = CHUNK_HOURS, zones: DataFrame | None = None
+) -> DataFrame:
     """Gap-free hours in chunks, each with ``before`` / ``after`` hours of its neighbours.
 
-    Rows that belong to the chunk have ``own`` = true; the others only feed frames.
+    Rows that belong to the chunk have ``own`` = true; the others only feed frames. With
+    ``zones`` the rows carry ``is_origin``, true at the sensor's local midnights.
     """
     hours = _hours(readings)
-    grid = _grid_rows(hours, chunk_hours).withColumn("consumption_kwh", F.lit(None).cast(hours.schema["consumption_kwh"].dataType))
+    grid = _grid_rows(hours, chunk_hours, zones)
+    aggregates = [F.max("consumption_kwh").alias("consumption_kwh")]
+    if zones is not None:
+        hours = hours.withColumn("is_origin", F.lit(False))
+        aggregates.append(F.max("is_origin").alias("is_origin"))
     home = _chunk_of(F.col("hour_no"), chunk_hours)
     reach = F.sequence(_chunk_of(F.col("hour_no") - after, chunk_hours), _chunk_of(F.col("hour_no") + before, chunk_hours))
     spread = hours.unionByName(grid).withColumn("chunk", F.explode(reach))
     return (
         spread.repartition(*CHUNK)
         .groupBy(*CHUNK, "hour_no")
-        .agg(F.max("consumption_kwh").alias("consumption_kwh"))
+        .agg(*aggregates)
         .withColumn("own", F.col("chunk") == home)
     )
 
@@ -66,7 +90,7 @@ def chunked_grid(readings: DataFrame, before: int, after: int, chunk_hours: int
 def hourly_grid(readings: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
     """One row per sensor and hour between its first and last reading; gaps are NULL."""
     hours = _hours(readings)
-    grid = _grid_rows(hours, chunk_hours).withColumn("consumption_kwh", F.lit(None).cast(hours.schema["consumption_kwh"].dataType))
+    grid = _grid_rows(hours, chunk_hours)
     return (
         hours.unionByName(grid)
         .groupBy("sensor_id", "hour_no")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -15,6 +18,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="joulegrid-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the checkpoint folder: computed once, safe from lost executors."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def local_session(cores: str = "*", app: str = "joulegrid", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; a cluster supplies its own."""
     builder = (

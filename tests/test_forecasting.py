@@ -25,8 +25,8 @@ def static_of(spark, *sensors, tz="UTC"):
 # --- leakage and splits -----------------------------------------------------------------
 
 def test_no_feature_exceeds_the_origin_on_a_rising_series(make, spark):
-    table = feat.feature_table(make((1, "2016-01-01", range(250))), static_of(spark, 1))
-    rows = feat.request_rows(table).collect()
+    origins = feat.origins(make((1, "2016-01-01", range(250))), static_of(spark, 1))
+    rows = feat.expand(feat.usable(origins)).collect()
     assert rows
     for r in rows:
         assert all(r[c] <= r.lag_1 for c in feat.LAG_COLUMNS + ["rolling_24h_mean", "rolling_168h_mean"])
@@ -136,7 +136,7 @@ def test_training_job(trained, spark):
 def test_prediction_and_backfill(trained, spark, tmp_path):
     name = jobs.selected_model(spark, trained["out"])
     model = jobs.load_model(f"{trained['out']}/models/{name}")
-    table = feat.feature_table(trained["readings"], trained["static"])
+    table = feat.origins(trained["readings"], trained["static"])
     latest = jobs.predict_latest(table, trained["readings"], name, model)
     assert latest.count() == 3 * 24 and latest.where("generated_at < target_ts").count() == 72
     assert {r.horizon for r in latest.collect()} == set(range(1, 25))
