@@ -106,14 +106,14 @@ def _grow(points: np.ndarray, tree: int, rng: np.random.Generator) -> list[tuple
     return [tuple(n) for n in nodes]
 
 
-def sample(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def sample(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SEED, total: int | None = None) -> DataFrame:
     """``size`` rows per tree, chosen by a hash of the row's key, the tree and the seed.
 
     A large table deals its rows to disjoint pools of about four samples each, one pool per
     tree, so no row is copied. A table too small for that offers every row to every tree.
     The exact cut follows per tree.
     """
-    total = train.count()
+    total = train.count() if total is None else total
 
     def uniform(*parts) -> Column:
         return F.pmod(F.xxhash64("sensor_id", F.unix_timestamp("ts"), *parts), F.lit(1 << 40)) / float(1 << 40)
@@ -131,7 +131,7 @@ def sample(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int =
     return rows.withColumn("_place", place).where(F.col("_place") <= size).select("tree", "sensor_id", "ts", "scaled")
 
 
-def fit(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> DataFrame:
+def fit(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SEED, total: int | None = None) -> DataFrame:
     """Node table of the forest from standardised training rows."""
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sensor_id", "ts"])
@@ -140,7 +140,7 @@ def fit(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SE
         nodes = _grow(points, tree, np.random.default_rng([seed, tree]))
         return pd.DataFrame(nodes, columns=[c.split(" ")[0] for c in NODES.split(", ")])
 
-    return sample(train, trees, size, seed).groupBy("tree").applyInPandas(build, NODES)
+    return sample(train, trees, size, seed, total).groupBy("tree").applyInPandas(build, NODES)
 
 
 # --- score --------------------------------------------------------------------------
@@ -191,10 +191,12 @@ def score(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 def fit_and_save(train_features: DataFrame, path: str, trees: int = TREES, size: int = SAMPLE, seed: int = SEED) -> None:
     """Fit on complete training rows and write scales, nodes and fit-time statistics."""
     spark = train_features.sparkSession
+    total = train_features.count()
+    if not total:
+        raise ValueError("the training period has no complete rows")
     scaling(train_features).write.mode("overwrite").parquet(f"{path}/scales")
     scaled = with_scaled(train_features, spark.read.parquet(f"{path}/scales"))
-    used = min(size, train_features.count())
-    fit(scaled, trees, size, seed).withColumn("sample_size", F.lit(used)).write.mode("overwrite").parquet(f"{path}/nodes")
+    fit(scaled, trees, size, seed, total).withColumn("sample_size", F.lit(min(size, total))).write.mode("overwrite").parquet(f"{path}/nodes")
     statistics(score(scaled, *_forest(spark, path))).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
