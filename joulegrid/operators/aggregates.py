@@ -397,14 +397,15 @@ def select_buildings(
 ) -> DataFrame:
     """Whole sites, smallest first, until a site or building limit; the last site is cut.
 
-    ``candidates`` has building_id, site_id and missing_rate. Site ranks use a window
-    without partitions, over one row per site.
+    ``candidates`` has building_id, site_id and missing_rate. Only the first ``max_sites``
+    sites reach the windows without partitions.
     """
-    ranking = Window.orderBy("buildings", "mean_missing", "site_id")
+    ranking = ["buildings", "mean_missing", "site_id"]
     ranked = (
         site_missing_stats(candidates)
-        .withColumn("_rank", F.row_number().over(ranking))
-        .where(F.col("_rank") <= max_sites)
+        .orderBy(*ranking)
+        .limit(max_sites)
+        .withColumn("_rank", F.row_number().over(Window.orderBy(*ranking)))
         .withColumn("_before", F.coalesce(F.sum("buildings").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where(F.col("_before") < max_buildings)
         .select("site_id", (F.lit(max_buildings) - F.col("_before")).alias("_budget"))

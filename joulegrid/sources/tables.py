@@ -12,7 +12,11 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from joulegrid.schema import INGESTION_RUNS, struct
+from joulegrid.session import written
+
 MONTH = "month"
+ROWS_PER_FILE = 4_000_000
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -64,8 +68,6 @@ def reject_duplicates(incoming: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _aligned(incoming: DataFrame, schema: str, keys: list[str], defaults: dict) -> DataFrame:
-    from joulegrid.schema import struct
-
     given = set(incoming.columns)
     return incoming.select(
         *[
@@ -80,8 +82,6 @@ def upsert(
     month_of: str | None = None, update: list[str] | None = None, defaults: dict | None = None,
 ) -> dict[str, int]:
     """Upsert ``incoming`` into the table at ``path``; returns rows read and written."""
-    from joulegrid.schema import struct
-
     defaults = defaults or {}
     rows = _aligned(incoming, schema, keys, defaults)
     staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
@@ -91,8 +91,8 @@ def upsert(
     # the input is evaluated once; the merge and the checks read the written copy
     layout = [MONTH] if month_of else []
     rows.write.partitionBy(*layout).parquet(f"{staging}/in")
-    written = rows.schema
-    rows = spark.read.schema(written).parquet(f"{staging}/in")
+    shape = rows.schema
+    rows = spark.read.schema(shape).parquet(f"{staging}/in")
     if month_of:
         rows = rows.withColumn(MONTH, F.col(MONTH).cast("string"))
     reject_duplicates(rows, keys)
@@ -112,8 +112,10 @@ def upsert(
     result.write.partitionBy(*layout).parquet(f"{staging}/out")
     final = spark.read.schema(result.schema).parquet(f"{staging}/out")
     if month_of:
-        # one shuffle key per month and slice of the leading id, so a month is many files
-        final = final.repartition(MONTH, F.pmod(F.xxhash64(keys[0]), F.lit(64))).sortWithinPartitions(MONTH, *keys)
+        # a month is cut into as many files as its rows need, each sorted by the key
+        largest = final.groupBy(MONTH).count().agg(F.max("count")).first()[0] or 0
+        slices = max(1, -(-largest // ROWS_PER_FILE))
+        final = final.repartition(MONTH, F.pmod(F.xxhash64(*keys[:2]), F.lit(slices))).sortWithinPartitions(MONTH, *keys)
         final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
     else:
         final.write.mode("overwrite").parquet(path)
@@ -123,17 +125,23 @@ def upsert(
 def assign_ids(current: DataFrame, incoming: DataFrame, code: str, key: str, update: list[str]) -> DataFrame:
     """Dimension upsert by natural code: known codes keep their id, new ones get the next ids.
 
-    Ids follow code order; the unpartitioned window only sees new dimension rows.
+    Ids follow code order. The sorted new codes are written once, so their partitions stay
+    fixed; rows are numbered inside partitions and shifted by the counts before them.
     """
     top = F.coalesce(current.agg(F.max(key)).scalar(), F.lit(0))
     new_codes = incoming.select(code).distinct().join(current.select(code), code, "left_anti")
-    numbered = new_codes.withColumn(key, F.row_number().over(Window.orderBy(code)).cast("long") + top)
+    ordered = written(new_codes.orderBy(code).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(code))
+    numbered = ordered.withColumn("_place", place).join(offsets, "_part").select(
+        code, (F.col("_place") + F.col("_offset") + top).cast("long").alias(key)
+    )
     ids = current.select(code, key).unionByName(numbered.select(code, key))
     keyed = incoming.join(ids, code)
     return merged(current, keyed, [key, code], update)
 
 
 def append_audit(spark: SparkSession, path: str, rows: list[tuple]) -> None:
-    from joulegrid.schema import INGESTION_RUNS
-
     spark.createDataFrame(rows, INGESTION_RUNS).coalesce(1).write.mode("append").parquet(path)
