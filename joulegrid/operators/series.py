@@ -246,16 +246,20 @@ def equal_runs(chunked: DataFrame, chunk_hours: int = CHUNK_HOURS) -> DataFrame:
             {"_total": F.sum("_n").over(whole), "_from": F.min("_lo").over(whole), "_to": F.max("_hi").over(whole)}
         )
         .where(F.col("_usable") & (F.col("_total") > F.col("_n")))
-        .select(*CHUNK, "_run", "_total", "_from", "_to")
+        # at most two entries per chunk; joining on the chunk alone keeps the rows where they are
+        .groupBy(*CHUNK)
+        .agg(F.collect_list(F.struct("_run", "_total", "_from", "_to")).alias("_longer"))
     )
     local = marked.withColumns(
         {"_n": F.count("*").over(piece), "_lo": F.min("hour_no").over(piece), "_hi": F.max("hour_no").over(piece)}
     )
-    return local.join(totals, [*CHUNK, "_run"], "left").select(
+    entry = F.get(F.filter("_longer", lambda e: e["_run"] == F.col("_run")), F.lit(0))
+    joined = local.join(totals, CHUNK, "left").withColumn("_whole", F.when(F.col("_longer").isNotNull(), entry))
+    return joined.select(
         *chunked.columns,
-        F.coalesce("_total", "_n").alias("run_length"),
-        cal.from_hour_number(F.coalesce("_from", "_lo")).alias("run_start"),
-        cal.from_hour_number(F.coalesce("_to", "_hi")).alias("run_end"),
+        F.coalesce("_whole._total", "_n").alias("run_length"),
+        cal.from_hour_number(F.coalesce("_whole._from", "_lo")).alias("run_start"),
+        cal.from_hour_number(F.coalesce("_whole._to", "_hi")).alias("run_end"),
     )
 
 
