@@ -24,7 +24,7 @@ from joulegrid.llm.common import arrow_rows, stored, texts
 # fixed values: SentencePiece writes a space as U+2581 and puts one before a text
 _SPACE = "▁"
 _PRETOKEN = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|\n|{_SPACE}+")
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 LIMIT = 4096
 _FLUSH = 300_000
 
