@@ -25,7 +25,6 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 42
 STRATA_PER_OCTAVE = 8
-BUCKET_ROWS = 100_000
 
 
 def word_sizes(text: Column) -> Column:
@@ -112,15 +111,15 @@ def strata(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def cutoffs(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """``plan`` with the last rank and doc_id taken in each stratum (``cut_rank``, ``cut_id``).
 
-    Ranks are counted in buckets first, as many as the stratum's size asks for, and only the bucket in which
-    the cut falls is ordered.
+    Ranks are counted in buckets first, as many as the root of the stratum's size, and only the bucket in
+    which the cut falls is ordered: about as many rows as there are buckets.
     """
     partial = plan.where("take > 0 AND take < n").withColumnsRenamed({"source": "_source", "stratum": "_stratum"})
     met = rows.where("size > 0").select("source", "doc_id", "size", _stratum(F.col("size")).alias("stratum")).join(
         partial, F.col("source").eqNullSafe(F.col("_source")) & (F.col("stratum") == F.col("_stratum"))
     )
     ranked = met.select("source", "stratum", "doc_id", "take", "n", _ranks(seed).alias("rank"))
-    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * F.ceil(F.col("n") / BUCKET_ROWS)))
+    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * F.ceil(F.sqrt("n"))))
     counts = ranked.groupBy("source", "stratum", "bucket", "take").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("source", "stratum").orderBy("bucket"))
     border = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("c") < F.col("take")))
