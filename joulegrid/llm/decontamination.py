@@ -244,4 +244,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark text, with their columns; rows with NULL texts stay."""
-    return scanned(docs, benchmark, docs.columns).where(F.size("_found") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    return scanned(rows, benchmark, ["_row", "text"]).where(F.size("_found") == 0).select("_row.*")

@@ -244,6 +244,6 @@ def redacted(docs: DataFrame) -> DataFrame:
                 made.append(_masked(text, spans) if spans else text)
             yield {"_row": batch.column("_row"), "_text": made}
 
-    out = arrow_rows(rows, rows.select("_row", F.lit("").cast("string").alias("_text")).schema, body)
+    out = arrow_rows(rows, rows.select("_row", F.lit(None).cast("string").alias("_text")).schema, body)
     new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

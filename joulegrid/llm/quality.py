@@ -130,8 +130,9 @@ def sites(evidence: DataFrame) -> DataFrame:
     Sums are combined in each task first, so a host with a third of all documents is no hot key. Two levels
     of one row per site remain. NULL hosts and paths are sites of their own.
     """
-    soft = 1 / (1 + F.exp(-F.col("_llr")))
-    paths = stored(evidence.groupBy("host", "path").agg(F.sum(soft).alias("good"), F.count("*").alias("n")))
+    # in whole millionths, so that the sum does not depend on the order of rows
+    soft = F.round(1e6 / (1 + F.exp(-F.col("_llr")))).cast("long")
+    paths = stored(evidence.groupBy("host", "path").agg((F.sum(soft) / 1e6).alias("good"), F.count("*").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     mean = whole["good"] / whole["n"] if whole["n"] else 0.5
