@@ -22,16 +22,16 @@ from joulegrid.llm.components import components
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
+FAMILIES, FAMILY_BITS = 4, 48
 
 
-def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    """64-bit number whose bits are set in over half of the (weighted) hashes."""
+def _majority(hashes: np.ndarray) -> int:
+    """64-bit number whose bits are set in over half of the hashes."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):  # very long texts in pieces
         bits = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[at : at + (1 << 15)] @ bits
-    total = len(hashes) if weights is None else int(weights.sum())
-    return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -72,17 +72,17 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, fp long", body)
 
 
-def _variants(fp: Column) -> Column:
-    flips = [F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)]]
+def _variants(fp: Column, bits: int) -> Column:
+    flips = [F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(bits)]]
     return F.transform(F.array(*flips), lambda flip: flip.bitwiseXOR(fp))
 
 
-def links(prints: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def links(prints: DataFrame, keys: tuple[str, ...] = (), bits: int = 64) -> DataFrame:
     """Links (keys, a, b) that connect distinct fingerprints ``fp`` at two or fewer differing bits.
 
-    ``keys`` separates independent families of fingerprints. A bucket holds at most 65 rows.
+    ``keys`` separates independent families of fingerprints. A bucket holds at most ``bits`` + 1 rows.
     """
-    emitted = prints.select(*keys, "fp", F.explode(_variants(F.col("fp"))).alias("_variant"))
+    emitted = prints.select(*keys, "fp", F.explode(_variants(F.col("fp"), bits)).alias("_variant"))
     least = F.min("fp").over(Window.partitionBy(*keys, "_variant"))
     found = emitted.select(*keys, F.col("fp").alias("a"), least.alias("b")).where("a <> b")
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
@@ -109,36 +109,42 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _words_print(text: str, seed: int) -> int:
-    """SimHash of the words, each weighing its letters: small edits of a text move few bits."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _word_prints(words: list[bytes], families: int) -> list[int]:
+    """``families`` independent ``FAMILY_BITS``-bit SimHashes of the words, each word weighing its letters.
+
+    Small edits of a text move few of these bits. No words give zeros.
+    """
     if not words:
-        return 0
+        return [0] * families
     counts: dict[bytes, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + len(word)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), dtype=np.uint64, count=len(counts))
-    return _majority(hashes, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    seeds = range(1, -(-families * FAMILY_BITS // 128) + 1)
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in counts for seed in seeds), dtype=np.uint8).reshape(len(counts), -1)
+    votes = np.zeros(digests.shape[1] * 8, dtype=np.int64)
+    for at in range(0, len(counts), 1 << 13):
+        votes += weights[at : at + (1 << 13)] @ np.unpackbits(digests[at : at + (1 << 13)], axis=1)
+    set_ = votes[: families * FAMILY_BITS].reshape(families, FAMILY_BITS) * 2 > weights.sum()
+    return [int(v) for v in set_ @ (1 << np.arange(FAMILY_BITS, dtype=np.int64))]
 
 
-def similar_groups(docs: DataFrame, families: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     """(doc_id, text_key, node, root): texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Fingerprints of shingles differ in about ten bits at that similarity, out of reach of a ball of radius
-    two. Fingerprints of words (``families`` of them, by seed) and of shingles move far less under small
-    edits, so their balls propose candidates, and every candidate pair is verified on the shingle sets.
-    ``node`` is the smallest doc_id of a distinct word sequence and ``root`` that of its group.
+    two. Fingerprints of words move far less under small edits, so the balls of several short ones propose
+    candidates, and every candidate pair is verified on the shingle sets. ``node`` is the smallest doc_id of
+    a distinct word sequence and ``root`` that of its group.
     """
-    seeds = list(range(1, families + 1))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keys, prints = [], []
-            for text in texts(batch):
-                joined = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
-                keys.append(xxhash.xxh3_128_digest(joined))
-                prints.append(_signed([*[_words_print(text, seed) for seed in seeds], fingerprint(text, SHINGLE)]).tolist())
-            yield {"doc_id": batch.column("doc_id"), "text_key": keys, "prints": prints}
+            words = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts(batch)]
+            yield {
+                "doc_id": batch.column("doc_id"), "text_key": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words],
+                "prints": [_word_prints(w, families) for w in words],
+            }
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = stored(arrow_rows(source, "doc_id long, text_key binary, prints array<long>", body))
@@ -147,7 +153,7 @@ def similar_groups(docs: DataFrame, families: int = 2) -> DataFrame:
     heads = stored(spread.groupBy("family", "fp").agg(F.min("node").alias("head")))
     # texts of one fingerprint meet their smallest one; fingerprints of one ball meet their smallest one
     same = spread.join(heads, ["family", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("family", "fp"), ("family",))
+    near = links(heads.select("family", "fp"), ("family",), FAMILY_BITS)
     near = near.join(heads.select("family", F.col("fp").alias("a"), F.col("head").alias("_a")), ["family", "a"])
     near = near.join(heads.select("family", F.col("fp").alias("b"), F.col("head").alias("_b")), ["family", "b"])
     pairs = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
