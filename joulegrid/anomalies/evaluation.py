@@ -9,6 +9,7 @@ from joulegrid.operators import joins
 
 KEYS = ["sensor_id", "ts"]
 RATIOS = ["precision", "recall", "f1", "false_positive_rate", "accuracy"]
+# fixed values: threshold grids
 Z_GRID = [1.5 + 0.5 * i for i in range(14)]
 FOREST_PERCENTS = [80, 85, 90, 93, 95, 97, 98, 99, 99.5, 99.9]
 
@@ -59,14 +60,14 @@ def confusion_by_method(truth: DataFrame, alerts: DataFrame, slots: DataFrame, m
     return _with_ratios(counts)
 
 
-def recall_by_type(truth: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
-    """Found and total injected points per type, per detector when ``keys`` names one."""
+def recall_by_type(truth: DataFrame, predicted: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    """Found and total injected points per type, per detector of ``methods``; a silent detector has recall 0."""
+    keys = ["method"] if methods else []
     found = predicted.select(*keys, *KEYS).distinct()
     hits = truth.join(found, KEYS).groupBy(*keys, "anomaly_type").agg(F.count("*").alias("_tp"))
     totals = counts_by_type(truth)
-    if keys:
-        per_type = totals.agg(F.collect_list(F.struct("anomaly_type", "n"))).scalar()  # six entries
-        totals = predicted.select(*keys).distinct().select(*keys, F.inline(per_type))
+    if methods:
+        totals = totals.select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "anomaly_type", "n")
     joined = totals.join(hits, [*keys, "anomaly_type"], "left").withColumn("tp", F.coalesce("_tp", F.lit(0)).cast("long"))
     return joined.select(*keys, "anomaly_type", "n", "tp", F.try_divide(F.col("tp").cast("double"), F.col("n")).alias("recall"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from joulegrid.functions import calendar as cal
 from joulegrid.operators import lookups, series as ser
 
+# fixed values: names, sizes and feature order of the detector
 METHOD = "isolation_forest"
 VERSION = "v1"
 SEED = 42
@@ -107,26 +108,23 @@ def _grow(points: np.ndarray, tree: int, rng: np.random.Generator) -> list[tuple
 
 
 def sample(train: DataFrame, trees: int = TREES, size: int = SAMPLE, seed: int = SEED, total: int | None = None) -> DataFrame:
-    """``size`` rows per tree, chosen by a hash of the row's key, the tree and the seed.
+    """``size`` rows per tree, the first by a hash of the row's key, the tree and the seed.
 
-    A large table deals its rows to disjoint pools of about four samples each, one pool per
-    tree, so no row is copied. A table too small for that offers every row to every tree.
-    The exact cut follows per tree.
+    A row is copied only to trees for which its draw lies below a share that leaves each tree about four
+    times the rows it needs (all of them, in a table smaller than that); the rank per tree then takes the
+    exact number. The rows chosen are those of a ranking of all rows, at every table size.
     """
     total = train.count() if total is None else total
-
-    def uniform(*parts) -> Column:
-        return F.pmod(F.xxhash64("sensor_id", F.unix_timestamp("ts"), *parts), F.lit(1 << 40)) / float(1 << 40)
-
-    rows = train.select("sensor_id", "ts", "scaled")
-    share = 4.0 * size / max(total, 1)
-    if share * trees < 1.0:
-        rows = rows.withColumn("tree", F.floor(uniform(F.lit(seed)) / share).cast("int")).where(F.col("tree") < trees)
-    else:
-        rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rows = rows.withColumn("_draw", uniform(F.col("tree"), F.lit(seed), F.lit("cut")))
-    if share < 1.0 <= share * trees:
-        rows = rows.where(F.col("_draw") < share)
+    share = min(1.0, 4.0 * size / max(total, 1) + 16.0 / max(total, 1))
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda tree: F.struct(
+            tree.alias("tree"),
+            (F.pmod(F.xxhash64("sensor_id", F.unix_timestamp("ts"), tree, F.lit(seed), F.lit("cut")), F.lit(1 << 40)) / float(1 << 40)).alias("_draw"),
+        ),
+    )
+    chosen = F.filter(draws, lambda d: d["_draw"] < share)
+    rows = train.select("sensor_id", "ts", "scaled", F.explode(chosen).alias("_d")).select("sensor_id", "ts", "scaled", "_d.*")
     place = F.row_number().over(Window.partitionBy("tree").orderBy("_draw", "sensor_id", "ts"))
     return rows.withColumn("_place", place).where(F.col("_place") <= size).select("tree", "sensor_id", "ts", "scaled")
 

@@ -7,13 +7,15 @@ overlap, and the same seed gives the same benchmark on any cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from joulegrid.functions import calendar as cal
 from joulegrid.operators import joins, lookups
 
 SLOT_HOURS = 72
-PER_TYPE = 15
+# of a period's sensor-slots, the share that gets a span of each type, so prevalence holds at every size:
+# 15 spans of a type in the slots that 60 sensors have in three months
+RATE = 15 / (60 * 31)
 SEEDS = {"validation": 42, "test": 43}
 
 # fixed values: type, shortest and longest span in hours, smallest and largest factor
@@ -36,8 +38,8 @@ def _by_type(values: list) -> Column:
     return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col("_type"))
 
 
-def injections(series: DataFrame, start, end, split: str, seed: int, per_type: int = PER_TYPE) -> DataFrame:
-    """Truth rows for one period; fewer than ``per_type`` spans when the data has no room."""
+def injections(series: DataFrame, start, end, split: str, seed: int, rate: float = RATE) -> DataFrame:
+    """Truth rows for one period: each sensor-slot gets a span of a type with probability ``rate``, if it has room."""
     first_hour = cal.hour_number(F.lit(lookups._bound(start, False).isoformat(" ")).cast("timestamp"))
     rows = series.where(lookups.in_period(F.col("ts"), start, end) & F.col("consumption_kwh").isNotNull())
     staged = (
@@ -56,8 +58,7 @@ def injections(series: DataFrame, start, end, split: str, seed: int, per_type: i
         .agg(F.count("*").alias("_n"), F.min_by("_x", "_h").alias("_held"))
         .where(F.col("_n") == F.col("_hours"))
     )
-    order = Window.partitionBy("_type").orderBy(F.xxhash64("sensor_id", "_slot", F.lit(seed), F.lit("rank")), "sensor_id", "_slot")
-    chosen = spans.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_type)
+    chosen = spans.where(_uniform(seed, "rank") < min(1.0, rate * len(TYPES)))
     low, high = _by_type([t[3] for t in TYPES]), _by_type([t[4] for t in TYPES])
     kind = F.get(F.array(*[F.lit(t[0]) for t in TYPES]), F.col("_type"))
     written = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.functions import calendar as cal
 from joulegrid.operators import series as ser
@@ -119,7 +119,6 @@ def detect(readings: DataFrame, chunk_hours: int = ser.CHUNK_HOURS) -> DataFrame
 
 
 def top_alert(candidates: DataFrame) -> DataFrame:
-    """One alert per sensor and hour: the highest score, then the type in name order."""
-    rest = [c for c in candidates.columns if c not in ("sensor_id", "ts")]
-    order = F.struct((-F.col("score")).alias("a"), F.col("anomaly_type").alias("b"))
-    return candidates.groupBy("sensor_id", "ts").agg(F.min_by(F.struct(*rest), order).alias("_r")).select("sensor_id", "ts", "_r.*")
+    """One alert per sensor, hour and detector: the highest score, then the type in name order."""
+    order = Window.partitionBy("sensor_id", "ts", "method", "detector_version").orderBy(F.col("score").desc(), "anomaly_type")
+    return candidates.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")

@@ -216,7 +216,7 @@ def _(t):
 
 
 @query("best_alert_per_hour", with_tables(
-    f"SELECT {_ALERT_SQL} FROM alerts QUALIFY row_number() OVER (PARTITION BY sensor_id, ts ORDER BY score DESC, anomaly_type) = 1", "alerts"))
+    f"SELECT {_ALERT_SQL} FROM alerts QUALIFY row_number() OVER (PARTITION BY sensor_id, ts, method, detector_version ORDER BY score DESC, anomaly_type) = 1", "alerts"))
 def _(t):
     return rules.top_alert(_plain(t.alerts()))
 
@@ -249,8 +249,8 @@ def _(t):
 for _hours in (12, 36):
     query(f"alert_context_{_hours}h", with_tables(
         f"""SELECT a.sensor_id, a.ts AS alert_ts, a.method, e.ts, {r('e.consumption_kwh', 'consumption_kwh')} FROM alerts a JOIN energy e ON e.sensor_id = a.sensor_id
-          AND e.ts BETWEEN a.ts - INTERVAL {_hours} HOUR AND a.ts + INTERVAL {_hours} HOUR WHERE a.severity = 'high'""", "alerts", "energy"))(
-        lambda t, h=_hours: lookups.alert_context(t.alerts().where("severity = 'high'"), t.energy(), h)
+          AND e.ts BETWEEN a.ts - INTERVAL {_hours} HOUR AND a.ts + INTERVAL {_hours} HOUR""", "alerts", "energy"))(
+        lambda t, h=_hours: lookups.alert_context(t.alerts(), t.energy(), h)
     )
 
 
@@ -348,6 +348,15 @@ def _(t):
     return evaluation.recall_by_type(t.truth(), t.alerts())
 
 
+@query("recall_by_type_and_method", with_tables(
+    f"""SELECT m.method, t.anomaly_type, count(*) AS n, count(a.ts) AS tp, {r('count(a.ts) / count(*)', 'recall')}
+    FROM (SELECT unnest(['data_quality', 'behavioral', 'isolation_forest']) AS method) m CROSS JOIN truth t
+    LEFT JOIN (SELECT DISTINCT method, sensor_id, ts FROM alerts) a ON a.method = m.method AND a.sensor_id = t.sensor_id AND a.ts = t.ts
+    GROUP BY 1, 2""", "truth", "alerts"))
+def _(t):
+    return evaluation.recall_by_type(t.truth(), t.alerts(), ["data_quality", "behavioral", "isolation_forest"])
+
+
 @query("class_balance", with_tables(
     """SELECT s AS observation_slots, n AS injected_anomalies, s - n AS normal_slots, round_even(n * 100.0::DOUBLE / s, 4) AS anomaly_rate_pct, k AS affected_sensors
     FROM (SELECT (SELECT count(*) FROM dense) AS s, count(*) AS n, count(DISTINCT sensor_id) AS k FROM truth)""", "dense", "truth"))
@@ -394,14 +403,21 @@ def _(t):
     return tables.merged(t.energy(), incoming, ["sensor_id", "ts"])
 
 
+_WEATHER = ("air_temp_c", "dew_temp_c", "wind_speed")
+
+
 @query("merged_weather", with_tables(
-    f"""SELECT coalesce(c.site_id, i.site_id) AS site_id, coalesce(c.ts, i.ts) AS ts, {r('CASE WHEN i.ts IS NOT NULL THEN i.air_temp_c ELSE c.air_temp_c END', 'air_temp_c')}
-    FROM (SELECT * FROM weather WHERE wind_speed IS NULL) c FULL OUTER JOIN (SELECT site_id, ts, wind_speed AS air_temp_c FROM weather WHERE air_temp_c IS NULL) i
-      ON i.site_id = c.site_id AND i.ts = c.ts""", "weather"))
-def _(t):
-    weather = t.weather()
-    current = weather.where("wind_speed IS NULL").select("site_id", "ts", "air_temp_c")
-    incoming = weather.where("air_temp_c IS NULL").select("site_id", "ts", F.col("wind_speed").alias("air_temp_c"))
+    f"""SELECT coalesce(c.site_id, i.site_id) AS site_id, coalesce(c.ts, i.ts) AS ts, {", ".join(r(f"CASE WHEN i.ts IS NOT NULL THEN i.{m} ELSE c.{m} END", m) for m in _WEATHER)},
+      {r('CASE WHEN i.ts IS NOT NULL THEN i.cloud_coverage ELSE c.cloud_coverage END', 'cloud_coverage')}
+    FROM weather c FULL OUTER JOIN (SELECT site_id, CASE WHEN day(ts) > 20 THEN ts + INTERVAL 60 DAY ELSE ts END AS ts, {", ".join(f"{m} + 1 AS {m}" for m in _WEATHER)},
+      CAST(hour(ts) % 9 AS DECIMAL(4,2)) AS cloud_coverage FROM weather) i ON i.site_id = c.site_id AND i.ts = c.ts""", "weather"))
+def _(t):
+    """Every weather row comes again with new values, the late days under new hours."""
+    moved = F.when(F.dayofmonth("ts") > 20, F.col("ts") + F.expr("interval 60 days")).otherwise(F.col("ts"))
+    current = t.weather().select("site_id", "ts", *_WEATHER, "cloud_coverage")
+    incoming = t.weather().select(
+        "site_id", moved.alias("ts"), *[(F.col(m) + 1).alias(m) for m in _WEATHER], (F.hour("ts") % 9).cast("decimal(4,2)").alias("cloud_coverage")
+    )
     return tables.merged(current, incoming, ["site_id", "ts"])
 
 
@@ -418,23 +434,14 @@ def _(t):
 
 
 @query("merged_alerts", with_tables(
-    f"""SELECT coalesce(c.sensor_id, i.sensor_id) AS sensor_id, coalesce(c.ts, i.ts) AS ts, coalesce(c.method, i.method) AS method,
+    f"""SELECT coalesce(c.sensor_id, i.sensor_id) AS sensor_id, coalesce(c.ts, i.ts) AS ts, coalesce(c.method, i.method) AS method, coalesce(c.detector_version, i.detector_version) AS detector_version,
       {r('coalesce(i.score, c.score)', 'score')}, coalesce(c.resolved, false) AS resolved
-    FROM (SELECT * FROM alerts WHERE severity = 'medium') c
-    FULL OUTER JOIN (SELECT sensor_id, ts, method, score + 1 AS score FROM alerts WHERE day(ts) >= 10) i ON i.sensor_id = c.sensor_id AND i.ts = c.ts AND i.method = c.method""", "alerts"))
-def _(t):
-    alerts = t.alerts().select("sensor_id", "ts", "method", "score", "severity", "resolved")
-    current = alerts.where("severity = 'medium'").drop("severity")
-    incoming = alerts.where(F.dayofmonth("ts") >= 10).select("sensor_id", "ts", "method", (F.col("score") + 1).alias("score"))
-    return tables.merged(current, incoming, ["sensor_id", "ts", "method"], defaults={"resolved": False})
-
-
-@query("assigned_ids", """SELECT c_name AS building_code, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE m + n END AS building_id, c_mktsegment AS primary_use
-    FROM (SELECT c_name, c_custkey, c_mktsegment, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0) AS m,
-      row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY c_name) AS n FROM customer)""")
-def _(t):
-    known = t.customers().where(F.col("c_custkey") % 2 == 0).select(
-        F.col("c_custkey").alias("building_id"), F.col("c_name").alias("building_code"), F.lit("old").alias("primary_use")
-    )
-    incoming = t.customers().select(F.col("c_name").alias("building_code"), F.col("c_mktsegment").alias("primary_use"))
-    return tables.assign_ids(known, incoming, "building_code", "building_id", ["primary_use"])
+    FROM alerts c FULL OUTER JOIN (SELECT sensor_id, CASE WHEN day(ts) >= 10 THEN ts + INTERVAL 60 DAY ELSE ts END AS ts, method, detector_version, score + 1 AS score FROM alerts) i
+      ON i.sensor_id = c.sensor_id AND i.ts = c.ts AND i.method = c.method AND i.detector_version = c.detector_version""", "alerts"))
+def _(t):
+    """Every alert comes again with a new score, those of later days under new hours."""
+    key = ["sensor_id", "ts", "method", "detector_version"]
+    moved = F.when(F.dayofmonth("ts") >= 10, F.col("ts") + F.expr("interval 60 days")).otherwise(F.col("ts"))
+    current = t.alerts().select(*key, "score", "resolved")
+    incoming = current.select("sensor_id", moved.alias("ts"), "method", "detector_version", (F.col("score") + 1).alias("score"))
+    return tables.merged(current, incoming, key, defaults={"resolved": False})

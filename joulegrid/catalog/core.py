@@ -209,10 +209,11 @@ def _(t):
 
 
 @query("matched_facts", """SELECT b.site_id, o.o_orderkey FROM orders o
-    JOIN (SELECT c_custkey, c_custkey // 10 AS site_id FROM customer WHERE c_acctbal > 0) b ON b.c_custkey = o.o_custkey""")
+    JOIN (SELECT c_custkey, c_custkey // 10 AS site_id FROM customer) b ON b.c_custkey = CASE WHEN o.o_orderkey % 5 = 0 THEN -o.o_custkey ELSE o.o_custkey END""")
 def _(t):
-    facts = t.raw("orders").select(F.col("o_custkey").alias("code"), "o_orderkey")
-    known = t.customers().where("c_acctbal > 0").select(F.col("c_custkey").alias("code"), F.floor(F.col("c_custkey") / 10).cast("long").alias("site_id"))
+    code = F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))  # every fifth code is unknown
+    facts = t.raw("orders").select(code.alias("code"), "o_orderkey")
+    known = t.customers().select(F.col("c_custkey").alias("code"), F.floor(F.col("c_custkey") / 10).cast("long").alias("site_id"))
     return joins.drop_unmatched(facts, known, "code", "site_id")
 
 
@@ -330,10 +331,10 @@ def _(t):
 
 
 @query("dataset_overview", with_tables(
-    """SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM buildings) AS buildings, (SELECT count(*) FROM sensors) AS sensors,
-      count(*) AS readings, min(ts) AS first_ts, max(ts) AS last_ts FROM energy""", "sites", "buildings", "sensors", "energy"))
+    """SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM buildings) AS buildings, (SELECT count(*) FROM weather) AS weather_rows,
+      count(*) AS readings, min(ts) AS first_ts, max(ts) AS last_ts FROM energy""", "sites", "buildings", "weather", "energy"))
 def _(t):
-    return ag.overview(t.sites(), t.buildings(), t.sensors(), t.energy())
+    return ag.overview(t.sites(), t.buildings(), t.weather(), t.energy())
 
 
 @query("local_day_totals", with_tables(f"SELECT CAST(day AS TIMESTAMP) AS day, {r('total_kwh', 'total_kwh')} FROM local_days", "local_days"))
@@ -499,10 +500,10 @@ def _(t):
 
 
 @query("peak_per_month", with_tables(
-    f"""SELECT sensor_id, CAST(month(ts) AS INTEGER) AS month, ts AS peak_ts, {r('consumption_kwh', 'peak_kwh')} FROM energy WHERE consumption_kwh IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY sensor_id, month(ts) ORDER BY consumption_kwh DESC, ts) = 1""", "energy"))
+    f"""SELECT sensor_id, CAST(month(lts) AS INTEGER) AS month, ts AS peak_ts, {r('consumption_kwh', 'peak_kwh')} FROM localised WHERE consumption_kwh IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY sensor_id, month(lts) ORDER BY consumption_kwh DESC, ts) = 1""", "localised"))
 def _(t):
-    return ag.peak_per_month(t.energy())
+    return ag.peak_per_month(t.energy(), t.resolved())
 
 
 @query("top_buildings_by_mean", with_tables(

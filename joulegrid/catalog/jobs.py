@@ -1,16 +1,17 @@
 """Fitted models and whole jobs on the derived tables (rows only: fitted or hash-driven values).
 
-Model sizes are arguments; the registered runs use smaller models than the jobs' defaults.
+Model sizes are the published ones: the defaults of ``forecasting.models`` and ``anomalies.forest``.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from joulegrid.anomalies import forest, inject, jobs as anomaly_jobs
+from joulegrid.anomalies import forest, jobs as anomaly_jobs
 from joulegrid.catalog.forecasts import static
 from joulegrid.catalog.registry import query
 from joulegrid.catalog.standins import PERIODS, SENSOR_BASE, Tables, define, with_tables
@@ -20,9 +21,6 @@ from joulegrid.functions.medians import exact_percentiles
 from joulegrid.operators import joins, lookups
 from joulegrid.session import checkpoint_dir, written
 
-FOREST_TREES = 50
-
-
 def _training(t: Tables) -> DataFrame:
     return written(feat.training_rows(feat.feature_table(t.dense(), static(t)), PERIODS))
 
@@ -30,10 +28,10 @@ def _training(t: Tables) -> DataFrame:
 def _fitted(rows: DataFrame, name: str) -> PipelineModel:
     train = rows.where("split = 'train'").drop("split")
     if name == "ridge":
-        return models.fit(train, models.ridge(train, 10.0), True)
+        return models.fit(train, models.ridge(train, models.search_alpha(train)[0]), True)
     if name == "random_forest":
-        return models.fit(train, models.random_forest(trees=10, depth=8), False)
-    return models.fit(train, models.boosted_trees(iterations=5, depth=4, bins=64), False)
+        return models.fit(train, models.random_forest(), False)
+    return models.fit(train, models.boosted_trees(), False)
 
 
 def _forecast(t: Tables, name: str) -> DataFrame:
@@ -50,13 +48,13 @@ for _name in ("ridge", "random_forest", "gradient_boosting"):
 def _(t):
     """Validation RMSE of every penalty and expanding window."""
     train = _training(t).where("split = 'train'").drop("split")
-    _, folds = models.search_alpha(train, (1.0, 100.0), 2)
+    _, folds = models.search_alpha(train)
     return t.spark.createDataFrame(folds)
 
 
 @query("model_comparison")
 def _(t):
-    """Baselines and ridge side by side on validation and test."""
+    """Both baselines and the three fitted models side by side on validation and test."""
     rows = _training(t)
     held_out = rows.where("split <> 'train'")
     keep = ["split", "horizon", "building_id", "site_id", "primary_use", models.LABEL, models.OUTPUT]
@@ -64,8 +62,8 @@ def _(t):
         joins.seasonal_naive(held_out, t.dense(), hours).select(F.lit(name).alias("model_name"), *keep)
         for name, hours in models.BASELINES.items()
     ]
-    parts.append(_fitted(rows, "ridge").transform(held_out).select(F.lit("ridge").alias("model_name"), *keep))
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts += [_fitted(rows, name).transform(held_out).select(F.lit(name).alias("model_name"), *keep) for name in ("ridge", "random_forest", "gradient_boosting")]
+    scored = written(reduce(DataFrame.unionByName, parts))
     return metrics.comparison_table(metrics.breakdown_table(scored, models.LABEL, models.OUTPUT, "model_name", "split"))
 
 
@@ -74,7 +72,7 @@ def _(t):
     """Fit-time score statistics of the isolation forest."""
     rows = written(forest.complete(forest.features(t.dense())).where(lookups.in_period(F.col("ts"), *PERIODS["train"])))
     scaled = forest.with_scaled(rows, forest.scaling(rows))
-    return forest.statistics(forest.score(scaled, forest.fit(scaled, FOREST_TREES), forest.SAMPLE))
+    return forest.statistics(forest.score(scaled, forest.fit(scaled), forest.SAMPLE))
 
 
 @query("isolation_alerts")
@@ -83,7 +81,7 @@ def _(t):
     rows = written(forest.complete(forest.features(t.dense())))
     train = rows.where(lookups.in_period(F.col("ts"), *PERIODS["train"]))
     scales = forest.scaling(train)
-    nodes = forest.fit(forest.with_scaled(train, scales), FOREST_TREES)
+    nodes = forest.fit(forest.with_scaled(train, scales))
     scored = written(forest.score(forest.with_scaled(rows, scales), nodes, forest.SAMPLE))
     validation = scored.where(lookups.in_period(F.col("ts"), *PERIODS["validation"]))
     return forest.alerts_from(scored, exact_percentiles(validation, "score", [99])[0])
@@ -94,7 +92,7 @@ def _(t):
     """Evaluation job (tune and freeze), then the detection job; alerts per detector."""
     out = f"{checkpoint_dir(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
     series, predictions = written(t.dense()), written(t.predictions())
-    anomaly_jobs.evaluate(t.spark, series, predictions, PERIODS, out, inject.PER_TYPE, trees=FOREST_TREES)
+    anomaly_jobs.evaluate(t.spark, series, predictions, PERIODS, out)
     return anomaly_jobs.run_detection(t.spark, series, predictions, out, f"{out}/alerts")
 
 
@@ -133,6 +131,44 @@ def _(t):
     return company.validate(*_submissions(t))[2].select("building_code", "rule")
 
 
+_FAULTS = {
+    1: "timezone", 2: "numeric_field", 3: "positive_field", 4: "naive_timestamp", 5: "timestamp", 6: "duplicate_timestamp",
+    7: "hourly_steps", 8: "missing_kwh", 9: "numeric_kwh", 10: "negative_kwh", 11: "too_few_rows", 12: "one_building_row",
+}
+
+
+@query("company_rule_checks", with_tables(
+    f"""SELECT building_code, rule FROM (SELECT building_code, CASE WHEN building_id % 13 = 12 THEN 'one_building_row'
+      WHEN primary_use IS NULL OR (area_sqm IS NULL AND building_id % 13 <> 2) THEN 'required_field'
+      WHEN building_id % 13 IN (1, 2, 3) THEN CASE building_id % 13 WHEN 1 THEN 'timezone' WHEN 2 THEN 'numeric_field' ELSE 'positive_field' END
+      WHEN building_id NOT IN (SELECT user_id FROM events) THEN 'too_few_rows'
+      ELSE CASE building_id % 13 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _FAULTS.items() if k > 3)} END END AS rule FROM buildings) WHERE rule IS NOT NULL""", "buildings"))
+def _(t):
+    """Every customer submits one kind of fault, planted in its building row or its readings."""
+    key = F.col("building_id")
+    kind = key % 13
+    rows = t.buildings().join(t.sites().select("site_id", "timezone"), "site_id").select(
+        "building_code", F.when(kind == 2, "big").otherwise(F.col("area_sqm").cast("string")).alias("area_sqm"),
+        (1 + key % 20).cast("string").alias("number_of_floors"), F.when(kind == 3, "0").otherwise((10 + key % 300).cast("string")).alias("occupants"),
+        "primary_use", F.when(kind == 1, "Mars/Olympus").otherwise(F.col("timezone")).alias("timezone"),
+        F.explode(F.sequence(F.lit(1), F.when(kind == 12, 2).otherwise(1))).alias("_copy"),
+    ).drop("_copy")
+    meters = t.sensors().join(t.buildings(), "building_id").join(t.sites().select("site_id", "timezone"), "site_id").select("sensor_id", kind.alias("kind"), "building_code", "timezone")
+    at = (F.dayofmonth("ts") - 1) * 24 + F.hour("ts")
+    local = F.date_format(cal.local(F.col("ts"), F.col("timezone")), "yyyy-MM-dd HH:mm:ss")
+    faulty = at == 100
+    stamp = F.when(faulty & (F.col("kind") == 4), F.concat(local, F.lit("Z"))).when(faulty & (F.col("kind") == 5), "yesterday").otherwise(local)
+    kwh = (
+        F.when(faulty & (F.col("kind") == 8), "").when(faulty & (F.col("kind") == 9), "lots").when(faulty & (F.col("kind") == 10), "-1")
+        .otherwise(F.col("consumption_kwh").cast("string"))
+    )
+    copies = F.when((F.col("kind") == 7) & faulty | (F.col("kind") == 11) & (at >= 100), 0).when((F.col("kind") == 6) & faulty, 2).otherwise(1)
+    energy = t.dense().join(joins.bounded(meters), "sensor_id").select(
+        "building_code", stamp.alias("timestamp"), kwh.alias("energy_kwh"), F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")
+    ).drop("_copy")
+    return company.validate(rows, energy)[2].select("building_code", "rule")
+
+
 @query("company_readings", with_tables(
     """SELECT b.building_code, d.ts, round(CAST(d.consumption_kwh AS DOUBLE), 6) AS consumption_kwh
     FROM judged_companies j JOIN buildings b ON b.building_code = j.building_code JOIN sensors s ON s.building_id = b.building_id

@@ -205,7 +205,7 @@ class Tables:
 class StoredTables(Tables):
     """The same tables read back from a store, as after ingestion; used to time operators alone."""
 
-    FACTS = ("dense", "energy", "defects", "weather", "truth")
+    FACTS = ("dense", "energy", "defects", "weather", "truth", "predictions", "alerts")
     DIMENSIONS = ("sites", "buildings", "sensors")
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: str):
@@ -223,7 +223,11 @@ class StoredTables(Tables):
         return self.spark.read.parquet(f"{self.store}/{name}")
 
 
-for _name in (*StoredTables.FACTS, *StoredTables.DIMENSIONS):
+    def predictions(self, season: int = 24) -> DataFrame:
+        return self._stored("predictions") if season == 24 else super().predictions(season)
+
+
+for _name in (*(f for f in StoredTables.FACTS if f != "predictions"), *StoredTables.DIMENSIONS):
     setattr(StoredTables, _name, lambda self, n=_name: self._stored(n))
 
 

@@ -1,8 +1,8 @@
 """Day-ahead forecasts for submitted companies, many at once.
 
 A company that breaks a rule goes to a rejection table with the first broken rule; the
-others are forecast. Rules are grouped aggregates. The only ordered check looks at
-companies within the row limit, so no group is unbounded.
+others are forecast. Rules are grouped aggregates. The only ordered check works on
+bounded time chunks, so no group is unbounded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from joulegrid.forecasting import features as feat, models
 from joulegrid.functions import text, zones
 
 MIN_ROWS = feat.LOOKBACK_HOURS
-MAX_ROWS = 8_760
+STEP_CHUNK_HOURS = 720
+# fixed values: columns of a submission
 FIELDS = ["building_code", "area_sqm", "number_of_floors", "occupants", "primary_use", "timezone"]
 NUMBERS = ["area_sqm", "number_of_floors", "occupants"]
 REJECTION = "building_code string, rule string, message string"
@@ -59,8 +60,26 @@ def _flag(condition: Column, example: Column) -> list[Column]:
     return [F.count_if(condition), F.min(F.when(condition, example))]
 
 
-def check_energy(parsed: DataFrame, places: DataFrame) -> DataFrame:
-    """First broken energy rule per company, in the order the rules are documented."""
+def _first_gap(stamps: DataFrame) -> DataFrame:
+    """(company, _gap): the first two neighbouring stamps that are not one hour apart.
+
+    Neighbours are found inside bounded time chunks; chunks meet by one row each.
+    """
+    chunk = F.floor(F.unix_timestamp(F.col("local_ts").cast("timestamp")) / (3600 * STEP_CHUNK_HOURS))
+    placed = stamps.select("company", "local_ts", chunk.alias("_chunk"))
+    inside = placed.withColumn("_previous", F.lag("local_ts").over(Window.partitionBy("company", "_chunk").orderBy("local_ts")))
+    ends = placed.groupBy("company", "_chunk").agg(F.min("local_ts").alias("local_ts"), F.max("local_ts").alias("_last"))
+    across = ends.withColumn("_previous", F.lag("_last").over(Window.partitionBy("company").orderBy("_chunk")))
+    pairs = inside.select("company", "_previous", "local_ts").unionByName(across.select("company", "_previous", "local_ts"))
+    step = F.unix_timestamp(F.col("local_ts").cast("timestamp")) - F.unix_timestamp(F.col("_previous").cast("timestamp"))
+    return pairs.where(F.col("_previous").isNotNull() & (step != 3600)).groupBy("company").agg(F.min(F.struct("_previous", "local_ts")).alias("_gap"))
+
+
+def check_energy(parsed: DataFrame, places: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """First broken energy rule per company, in the order the rules are documented.
+
+    ``max_rows`` rejects longer submissions; without it any length is checked.
+    """
     stamp = F.col("local_ts").cast("string")
     not_number = ~F.col("_blank") & F.col("kwh").isNull()
     tests = {
@@ -78,13 +97,7 @@ def check_energy(parsed: DataFrame, places: DataFrame) -> DataFrame:
     per_company = stamps.groupBy("company").agg(
         F.sum(F.col("_c") - 1).alias("n_duplicate"), F.min(F.when(F.col("_c") > 1, stamp)).alias("eg_duplicate"), F.count("*").alias("_distinct")
     )
-    # steps are only checked for companies inside the row limit: at most MAX_ROWS rows a group
-    bounded = stamps.join(per_company.where(F.col("_distinct") <= MAX_ROWS).select("company"), "company", "left_semi")
-    previous = F.lag("local_ts").over(Window.partitionBy("company").orderBy("local_ts"))
-    seconds = F.unix_timestamp(F.col("local_ts").cast("timestamp")) - F.unix_timestamp(F.col("_previous").cast("timestamp"))
-    steps = bounded.withColumn("_previous", previous).withColumn("_step", seconds).groupBy("company").agg(
-        F.min(F.when(F.col("_step") != 3600, F.struct("_previous", "local_ts"))).alias("_gap")
-    )
+    steps = _first_gap(stamps)
     placed = zones.with_utc(
         stamps.join(places.select("company", "tz"), "company"), "local_ts", "tz", "ts"
     )
@@ -100,7 +113,7 @@ def check_energy(parsed: DataFrame, places: DataFrame) -> DataFrame:
         return _rule(rule, F.col(f"n_{name}") > 0, message)
 
     broken = F.coalesce(
-        _rule("too_many_rows", F.col("_rows") > MAX_ROWS, F.format_string(f"at most {MAX_ROWS} rows, got %d", "_rows")),
+        *([_rule("too_many_rows", F.col("_rows") > max_rows, F.format_string(f"at most {max_rows} rows, got %d", "_rows"))] if max_rows else []),
         counted("offset", "naive_timestamp", "timestamp(s) carry a UTC offset"),
         counted("unparsed", "timestamp", "unreadable timestamp(s)"),
         counted("duplicate", "duplicate_timestamp", "duplicate timestamp(s)"),
@@ -116,12 +129,12 @@ def check_energy(parsed: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select("company", "_rows", broken.alias("_broken"))
 
 
-def validate(buildings: DataFrame, energy: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def validate(buildings: DataFrame, energy: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(static features, readings, rejections); ``sensor_id`` is the company code."""
     places = check_buildings(buildings)
     parsed = parse_energy(energy)
     sound = places.where(F.col("_broken").isNull())
-    facts = check_energy(parsed, sound)
+    facts = check_energy(parsed, sound, max_rows)
     verdict = places.select("company", F.col("_broken").alias("_place"), F.lit(True).alias("_has_place")).join(
         facts.select("company", F.col("_broken").alias("_energy"), F.lit(True).alias("_has_energy")), "company", "full_outer"
     )
@@ -153,10 +166,10 @@ def use_warning(known: list[str]) -> Column:
 
 
 def forecast(
-    buildings: DataFrame, energy: DataFrame, model: PipelineModel, model_name: str = "random_forest", version: str = "v1"
+    buildings: DataFrame, energy: DataFrame, model: PipelineModel, model_name: str = "random_forest", version: str = "v1", max_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast rows, warnings, rejections). Only ``model.transform`` is called, nothing is fitted."""
-    static, readings, rejections = validate(buildings, energy)
+    static, readings, rejections = validate(buildings, energy, max_rows)
     request = feat.latest_request(feat.origins(readings, static))
     # an unusable history shows as a company without any request row
     unusable = static.select(F.col("sensor_id").alias("building_code")).join(

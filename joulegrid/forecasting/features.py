@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from joulegrid.functions import calendar as cal
 from joulegrid.operators import lookups, series as ser
@@ -75,11 +75,10 @@ def usable(origin_rows: DataFrame) -> DataFrame:
 def latest_request(origin_rows: DataFrame) -> DataFrame:
     """The latest usable origin of every sensor, expanded to its 24 horizons.
 
-    One combining aggregate: partial maxima are taken before the shuffle and nothing is joined back.
+    A ranking with a limit: every partition is cut to one row per sensor before the exchange.
     """
-    rest = [c for c in origin_rows.columns if c != "sensor_id"]
-    latest = usable(origin_rows).groupBy("sensor_id").agg(F.max_by(F.struct(*rest), "origin_ts").alias("_r"))
-    return expand(latest.select("sensor_id", "_r.*"))
+    rank = F.row_number().over(Window.partitionBy("sensor_id").orderBy(F.col("origin_ts").desc()))
+    return expand(usable(origin_rows).withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
 
 
 def range_request(origin_rows: DataFrame, start, end) -> DataFrame:

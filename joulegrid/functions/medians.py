@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _ACCURACY = 10_000
 _MARGIN = 0.001  # ten times the sketch's rank error
+_ORDERED = 100_000  # values of a bracket that one task puts in order
 
 
 def bracket(value: Column) -> Column:
@@ -22,41 +23,48 @@ def bracket(value: Column) -> Column:
 def exact_percentiles(rows: DataFrame, value: str, percents: list[float]) -> list[float]:
     """Exact percentiles (linear interpolation) of one column over the whole table.
 
-    One pass brackets every percentile by a sketch, a second counts what lies below and
-    inside the brackets; only those few numbers reach the driver.
+    Each percentile has a bracket of values, at first all of them. Passes over the table narrow it with a
+    sketch of what lies inside and count what lies below, until few values are left; only those are put in
+    order. The passes change the cost alone: any bracket that holds the two ranks gives the same values.
     """
-    x = F.col(value).cast("double")
-    present = rows.select(x.alias("_x")).where("_x IS NOT NULL")
-    probabilities = [q / 100 for q in percents]
-    ends = [min(1.0, max(0.0, p + side * _MARGIN)) for p in probabilities for side in (-1, 1)]
-    row = present.agg(
-        F.count("*"), F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), F.lit(_ACCURACY)), F.min("_x"), F.max("_x")
-    ).first()
-    total, marks = row[0], row[1]
+    x = F.col("_x")
+    present = rows.select(F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
+    total, least, most = present.agg(F.count("*"), F.min("_x"), F.max("_x")).first()
     if not total:
         return []
-    # in a small table the margin is less than one rank, so everything is inside
-    small = total < _ACCURACY
-    lows = [row[2] if small or p <= _MARGIN else marks[2 * i] for i, p in enumerate(probabilities)]
-    highs = [row[3] if small or p >= 1 - _MARGIN else marks[2 * i + 1] for i, p in enumerate(probabilities)]
-    below = present.agg(*[F.count_if(F.col("_x") < low) for low in lows]).first()
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("_x").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(lows, highs))])
-    )
+    spots = [p / 100 * (total - 1) for p in percents]
+    brackets = [(least, most, 0, total)] * len(spots)  # low, high, values below, values inside
+    open_ones = list(range(len(spots)))
+    while open_ones := [i for i in open_ones if brackets[i][3] > _ORDERED and brackets[i][0] < brackets[i][1]]:
+        sketches = []
+        for i in open_ones:
+            low, high, below, inside = brackets[i]
+            at = (spots[i] - below) / inside
+            ends = F.array(*[F.lit(min(1.0, max(0.0, at + side * _MARGIN))) for side in (-1, 1)])
+            sketches.append(F.percentile_approx(F.when(x.between(low, high), x), ends, F.lit(_ACCURACY)))
+        found = present.agg(*sketches).first()
+        counts = present.agg(*[c for lo, hi in found for c in (F.count_if(x < lo), F.count_if(x.between(lo, hi)))]).first()
+        narrowed = []
+        for n, i in enumerate(open_ones):
+            below, inside = counts[2 * n], counts[2 * n + 1]
+            held = below <= int(spots[i]) and min(int(spots[i]) + 1, total - 1) < below + inside
+            if held and inside < brackets[i][3]:
+                brackets[i] = (*found[n], below, inside)
+                narrowed.append(i)
+        open_ones = narrowed
+    hits = F.array_compact(F.array(*[F.when(x.between(b[0], b[1]), F.lit(i)) for i, b in enumerate(brackets)]))
     counted = present.select("_x", F.explode(hits).alias("_i")).groupBy("_i", "_x").agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy("_i").orderBy("_x"))
-    offset = F.get(F.array(*[F.lit(b) for b in below]), F.col("_i"))
-    ranked = counted.withColumn("_upto", upto + offset)
-    spots = [p * (total - 1) for p in probabilities]
+    ranked = counted.withColumn("_upto", upto + F.get(F.array(*[F.lit(b[2]) for b in brackets]), F.col("_i")))
 
-    def at(ranks: list[int]) -> Column:
+    def at_rank(ranks: list[int]) -> Column:
         rank = F.get(F.array(*[F.lit(k + 1) for k in ranks]), F.col("_i"))
         return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_x")))
 
-    found = ranked.groupBy("_i").agg(
-        at([int(s) for s in spots]).alias("lo"), at([min(int(s) + 1, total - 1) for s in spots]).alias("hi")
+    result = ranked.groupBy("_i").agg(
+        at_rank([int(s) for s in spots]).alias("lo"), at_rank([min(int(s) + 1, total - 1) for s in spots]).alias("hi")
     ).collect()
-    by_index = {f["_i"]: (f["lo"], f["hi"]) for f in found}
+    by_index = {f["_i"]: (f["lo"], f["hi"]) for f in result}
     return [by_index[i][0] + (by_index[i][1] - by_index[i][0]) * (s - int(s)) for i, s in enumerate(spots)]
 
 

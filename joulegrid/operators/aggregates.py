@@ -141,27 +141,27 @@ def month_totals(day_totals: DataFrame) -> DataFrame:
     return day_totals.groupBy(F.date_trunc("month", "day").alias("month")).agg(F.sum("total_kwh").alias("total_kwh"))
 
 
-def peak_per_month(readings: DataFrame) -> DataFrame:
-    """Highest reading per month of the year, all years pooled, earliest on a tie."""
-    present = readings.where(F.col(KWH).isNotNull())
-    best = F.max_by(F.struct("ts", KWH), F.struct(F.col(KWH), -F.unix_timestamp("ts")))
-    return (
-        present.groupBy("sensor_id", F.month("ts").alias("month"))
-        .agg(best.alias("_b"))
-        .select("sensor_id", "month", F.col("_b.ts").alias("peak_ts"), F.col(f"_b.{KWH}").alias("peak_kwh"))
-    )
+def peak_per_month(readings: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Highest reading per local month of the year, all years pooled, earliest on a tie."""
+    present = _local(readings.where(F.col(KWH).isNotNull()), resolved)
+    month = F.month("_local")
+    order = Window.partitionBy("sensor_id", "month").orderBy(F.col(KWH).desc(), "ts")
+    ranked = present.select("sensor_id", month.alias("month"), "ts", KWH).withColumn("_rank", F.row_number().over(order))
+    return ranked.where("_rank = 1").select("sensor_id", "month", F.col("ts").alias("peak_ts"), F.col(KWH).alias("peak_kwh"))
 
 
 # --- dataset and buildings --------------------------------------------------------
 
-def overview(sites: DataFrame, buildings: DataFrame, sensors: DataFrame, readings: DataFrame) -> DataFrame:
+def overview(sites: DataFrame, buildings: DataFrame, weather: DataFrame, readings: DataFrame) -> DataFrame:
+    """Row counts of the four tables and the span of the readings."""
+
     def rows(table: DataFrame) -> Column:
         return table.agg(F.count("*")).scalar()
 
     return readings.agg(
         F.count("*").alias("readings"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     ).select(
-        rows(sites).alias("sites"), rows(buildings).alias("buildings"), rows(sensors).alias("sensors"),
+        rows(sites).alias("sites"), rows(buildings).alias("buildings"), rows(weather).alias("weather_rows"),
         "readings", "first_ts", "last_ts",
     )
 

@@ -99,12 +99,12 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list, limit: int) ->
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def series(rows: DataFrame, key: str, ts: str, key_value=None, start=None, end=None, limit: int = 1000) -> DataFrame:
-    """Oldest rows first, bounded per key; for one key or, without one, for every key."""
+def series(rows: DataFrame, key: str, ts: str, key_value=None, start=None, end=None, limit: int | None = None) -> DataFrame:
+    """Oldest rows first; ``limit`` gives the first rows of the one key, or of every key."""
     chosen = matching(rows, **{key: key_value}).where(in_range(F.col(ts), start, end))
     if key_value is None:
-        return first_per_key(chosen, [key], [ts], limit)
-    return chosen.orderBy(ts).limit(limit)
+        return chosen if limit is None else first_per_key(chosen, [key], [ts], limit)
+    return chosen.orderBy(ts) if limit is None else chosen.orderBy(ts).limit(limit)
 
 
 # --- alerts -----------------------------------------------------------------------
@@ -190,7 +190,8 @@ def complete_cases(rows: DataFrame, required: list[str]) -> DataFrame:
 
 def top_peaks(readings: DataFrame, n: int = 10) -> DataFrame:
     """The n largest readings of every sensor, NULLs left out, earliest first on a tie."""
-    n = max(1, min(MAX_TOP, n))
+    if not 1 <= n <= MAX_TOP:
+        raise ValueError(f"n must lie between 1 and {MAX_TOP}")
     present = readings.where(F.col("consumption_kwh").isNotNull())
     w = Window.partitionBy("sensor_id").orderBy(F.col("consumption_kwh").desc(), "ts")
     return present.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

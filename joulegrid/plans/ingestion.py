@@ -13,6 +13,7 @@ from joulegrid.operators import aggregates as ag, series as ser
 from joulegrid.sources import cleaning, files, tables
 
 MAX_MISSING_RATE = 0.05
+_ALL = 2_000_000_000
 
 
 def missing_rates(wide: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _audited(spark: SparkSession, out: str, name: str, work: Callable[[], dict])
     try:
         result = work()
     except Exception as error:
-        tables.append_audit(spark, f"{out}/ingestion_runs", [(name, started, datetime.now(timezone.utc), None, None, None, "failed", str(error)[:2000])])
+        tables.append_audit(spark, f"{out}/ingestion_runs", [(name, started, datetime.now(timezone.utc), None, None, None, "failed", str(error))])
         raise
     tables.append_audit(spark, f"{out}/ingestion_runs", [(
         name, started, datetime.now(timezone.utc), result["read"], result["written"], result["read"] - result["written"],
@@ -81,12 +82,17 @@ def _audited(spark: SparkSession, out: str, name: str, work: Callable[[], dict])
 
 def run(
     spark: SparkSession, metadata_path: str, readings_path: str, weather_path: str, out: str,
-    max_sites: int = 3, max_buildings: int = 60, min_buildings: int = 30,
+    max_sites: int | None = None, max_buildings: int | None = None, min_buildings: int = 0,
 ) -> dict[str, dict]:
-    """Select buildings, then load dimensions, readings and weather. Safe to run again."""
+    """Load dimensions, readings and weather of every usable building, or of a selection when a limit is given.
+
+    Safe to run again.
+    """
     metadata = files.read_metadata(spark, metadata_path)
     wide = files.read_wide_readings(spark, readings_path)
-    picked = ag.select_buildings(candidates(metadata, missing_rates(wide)), max_sites, max_buildings)
+    picked = candidates(metadata, missing_rates(wide))
+    if max_sites is not None or max_buildings is not None:
+        picked = ag.select_buildings(picked, max_sites or _ALL, max_buildings or _ALL)
     picked.write.mode("overwrite").parquet(f"{out}/selection")
     selected = ag.require_minimum(spark.read.parquet(f"{out}/selection"), min_buildings)
 
@@ -107,9 +113,9 @@ def run(
     sites, buildings, sensors = (spark.read.parquet(f"{out}/{n}") for n in ("sites", "buildings", "sensors"))
 
     def readings() -> dict:
-        codes = [row[0] for row in selected.select("building_id").collect()]  # at most max_buildings
+        codes = [row[0] for row in selected.select("building_id").collect()]  # columns of the file: bounded by its header
         long = ser.unpivot_readings(
-            wide.select(F.col("timestamp").alias("local_ts"), F.monotonically_increasing_id().alias("ordinal"), *[f"`{c}`" for c in codes]),
+            cleaning.with_source_order(wide).select(F.col("timestamp").alias("local_ts"), "ordinal", *[f"`{c}`" for c in codes]),
             ["local_ts", "ordinal"], codes,
         ).withColumn("consumption_kwh", F.when(~F.isnan("consumption_kwh"), F.col("consumption_kwh")))
         zones = buildings.join(sites, "site_id").select("building_code", "timezone")

@@ -21,7 +21,7 @@ def explore(
     days = ag.local_day_totals(readings, resolved)
     counted = [c for c in COUNT_ONLY if c in buildings.columns]
     return {
-        "overview": ag.overview(sites, buildings, sensors, readings),
+        "overview": ag.overview(sites, buildings, weather, readings),
         "comparison": compared,
         "attribute_correlations": ag.attribute_correlations(compared, buildings, ATTRIBUTES, counted),
         "mean_by_use": ag.mean_by_use(compared),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# fixed values: column names and types of the source files and of the stored tables
 KWH = "decimal(12,4)"
 
 METADATA_CSV = (

@@ -19,9 +19,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    A temporary one stands in only on a single machine (``local[...]``); elsewhere executors could not
+    read each other's files, so a missing setting is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="joulegrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,6 +41,19 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store that this job wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later plan reads."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            delete(table.sparkSession, file.rpartition("/")[0])
+
+
 def local_session(cores: str = "*", app: str = "joulegrid", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; a cluster supplies its own."""
     builder = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from joulegrid.functions.zones import with_utc
 
@@ -16,13 +16,23 @@ def reject_negative(readings: DataFrame) -> DataFrame:
 
 
 def first_of_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first in source order, and how many were dropped.
+    """One row per key: the first in source order.
 
-    An aggregate instead of a ranking: a key with very many copies is combined before the shuffle.
+    A ranking with a limit: Spark cuts every partition to one row per key before the single exchange,
+    so a key with very many copies shrinks first.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return rows.groupBy(*keys).agg(first.alias("_r"), (F.count("*") - 1).alias("duplicates")).select(*keys, "_r.*", "duplicates")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def with_source_order(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan with ``ordinal``: file name, place of the block in it, then row.
+
+    Files follow their names; partition numbers alone would follow the packing of blocks by size.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    order = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), place.alias("row"))
+    return rows.withColumn("ordinal", order)
 
 
 def localised(rows: DataFrame, local: str = "local_ts", tz: str = "timezone") -> DataFrame:
@@ -41,15 +51,14 @@ def clean_readings(long: DataFrame, zones: DataFrame, code: str = "building_code
     single = first_of_duplicates(usable, [code, "ts"], ["local_ts", "ordinal"])
     checked = reject_negative(single)
     clean = checked.select(code, "ts", F.col("consumption_kwh").cast("decimal(12,4)").alias("consumption_kwh"))
-    ambiguous = placed.agg(F.count("*").alias("rows_in"), F.count_if("ts_ambiguous").alias("ambiguous_dropped"))
-    counters = checked.agg(
-        F.count("*").alias("rows_out"),
-        F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates_dropped"),
-        F.count_if("rejected").alias("negatives_rejected"),
-    ).select(
+    ambiguous = placed.agg(
+        F.count("*").alias("rows_in"), F.count_if("ts_ambiguous").alias("ambiguous_dropped"), F.count("ts").alias("usable")
+    )
+    counters = checked.agg(F.count("*").alias("rows_out"), F.count_if("rejected").alias("negatives_rejected")).select(
         ambiguous.select("rows_in").scalar().alias("rows_in"),
         ambiguous.select("ambiguous_dropped").scalar().alias("ambiguous_dropped"),
-        "duplicates_dropped", "negatives_rejected", "rows_out",
+        (ambiguous.select("usable").scalar() - F.col("rows_out")).alias("duplicates_dropped"),
+        "negatives_rejected", "rows_out",
     )
     return clean, counters
 
@@ -62,8 +71,7 @@ def clean_weather(raw: DataFrame, zones: DataFrame) -> DataFrame:
         "airTemperature", "cloudCoverage", "dewTemperature", "precipDepth1HR", "precipDepth6HR",
         "seaLvlPressure", "windDirection", "windSpeed",
     ]
-    order = F.monotonically_increasing_id()
-    placed = localised(raw.withColumn("ordinal", order).withColumnRenamed("timestamp", "local_ts").join(zones, "site_id"))
+    placed = localised(with_source_order(raw).withColumnRenamed("timestamp", "local_ts").join(zones, "site_id"))
     usable = placed.where(F.col("ts").isNotNull())
     single = first_of_duplicates(usable.select("site_id", "ts", "local_ts", "ordinal", *source), ["site_id", "ts"], ["local_ts", "ordinal"])
     measures = [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulegrid import schema
 
+# fixed values: columns of submitted and returned files
 ENERGY_COLUMNS = ["timestamp", "energy_kwh"]
 BUILDING_COLUMNS = ["building_code", "area_sqm", "number_of_floors", "occupants", "primary_use", "timezone"]
 FORECAST_COLUMNS = ["building_code", "target_ts", "horizon", "predicted_kwh", "model_name", "model_version", "generated_at"]

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from joulegrid.schema import INGESTION_RUNS, struct
-from joulegrid.session import written
+from joulegrid.session import delete, written
 
 MONTH = "month"
 ROWS_PER_FILE = 4_000_000
@@ -119,6 +119,7 @@ def upsert(
         final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
     else:
         final.write.mode("overwrite").parquet(path)
+    delete(spark, staging)
     return {"read": read, "written": read}
 
 

@@ -37,7 +37,12 @@ def test_weekday_and_weekend_profiles(make, dims):
 def test_month_profile_and_peaks(make, dims):
     readings = make((1, "2016-01-10 12:00:00", [5]), (1, "2016-02-10 12:00:00", [30, 7]))
     assert {r.month: r.total_kwh for r in ag.profile(readings, dims()[3], "month").collect()} == {1: 5, 2: 37}
-    assert {r.month: float(r.peak_kwh) for r in ag.peak_per_month(readings).collect()} == {1: 5, 2: 30}
+    assert {r.month: float(r.peak_kwh) for r in ag.peak_per_month(readings, dims()[3]).collect()} == {1: 5, 2: 30}
+
+
+def test_peak_at_a_month_edge_is_local(make, dims):
+    readings = make((1, "2016-02-01 02:00:00", [9]), (1, "2016-02-10 12:00:00", [3]))
+    assert {r.month: float(r.peak_kwh) for r in ag.peak_per_month(readings, dims("US/Eastern")[3]).collect()} == {1: 9, 2: 3}
 
 
 def test_summary(make):

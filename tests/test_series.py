@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,14 @@ def test_exact_percentiles_match_numpy(spark):
         rows = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
         percents = [0, 50, 80, 99, 99.5, 99.9, 100]
         assert exact_percentiles(rows, "x", percents) == pytest.approx(list(np.percentile(values, percents)), abs=1e-12)
+
+
+def test_percentile_brackets_narrow_to_the_same_values(spark, monkeypatch):
+    from joulegrid.functions import medians
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), np.full(500, 1.0), rng.integers(0, 5, 500)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double")
+    monkeypatch.setattr(medians, "_ORDERED", 50)
+    percents = [0, 1, 25, 50, 90, 99.9, 100]
+    assert exact_percentiles(rows, "x", percents) == pytest.approx(list(np.percentile(values, percents)), abs=1e-12)
