@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joulegrid.llm import decontamination, mixing, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc
+from joulegrid.llm import decontamination, mixing, oracles, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc
 from joulegrid.llm.common import table
 
 
@@ -56,4 +56,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mix, op2_pii, op3_toxicity, op4_quality, op5_warc, op6_tokens, op7_substrings, op8_rules, op9_decontaminate, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql()}

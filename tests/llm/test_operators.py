@@ -369,3 +369,13 @@ def test_deduplicated_keeps_one_similar_text(spark):
             truth[g * 10 + c] = g * 10
     kept = sorted(r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert set(truth.values()) <= set(kept) and len(kept) <= 34
+
+
+def test_oracle_texts_agree(spark):
+    from oracle_check import difference, oracle_connection
+
+    from joulegrid.llm.queries import ORACLES, QUERIES
+
+    connection = oracle_connection(SF)
+    for name, text in ORACLES.items():
+        assert difference(QUERIES[name](spark, SF).toPandas(), connection.execute(text).df()) is None, name
