@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joulegrid.catalog.registry import query, r
-from joulegrid.catalog.standins import EXPECTED_HOURS, PERIODS, Tables, define, with_tables
+from joulegrid.catalog.standins import EXPECTED_SQL, PERIODS, Tables, define, with_tables
 from joulegrid.functions import calendar as cal
 from joulegrid.operators import aggregates as ag, joins, lookups
 
@@ -279,9 +279,9 @@ _SUMMARY = """count(*) AS row_count, count(consumption_kwh) AS observations,
 
 
 @query("sensor_summary", with_tables(
-    f"SELECT sensor_id, {_SUMMARY}, greatest({EXPECTED_HOURS} - count(consumption_kwh), 0) AS missing_hours FROM energy GROUP BY 1", "energy"))
+    f"SELECT sensor_id, {_SUMMARY}, greatest({EXPECTED_SQL} - count(consumption_kwh), 0) AS missing_hours FROM energy GROUP BY 1", "energy"))
 def _(t):
-    return ag.missing_hours(ag.sensor_summary(t.energy()), EXPECTED_HOURS)
+    return ag.missing_hours(ag.sensor_summary(t.energy()), t.expected_hours())
 
 
 def _bucket_sql(unit: str, source: str = "energy") -> str:
@@ -430,11 +430,11 @@ def _(t):
 # --- quality ------------------------------------------------------------------------
 
 @query("reading_gaps", with_tables(
-    f"""SELECT sensor_id, count(*) AS actual_rows, CAST({EXPECTED_HOURS} AS BIGINT) AS expected_rows, {EXPECTED_HOURS} - count(*) AS missing_timestamps,
+    f"""SELECT sensor_id, count(*) AS actual_rows, CAST({EXPECTED_SQL} AS BIGINT) AS expected_rows, {EXPECTED_SQL} - count(*) AS missing_timestamps,
       count(*) FILTER (consumption_kwh IS NULL) AS null_rows, round_even(count(*) FILTER (consumption_kwh IS NULL) / count(*), 4) AS null_rate
     FROM energy GROUP BY 1""", "energy"))
 def _(t):
-    return ag.reading_gaps(t.energy(), EXPECTED_HOURS)
+    return ag.reading_gaps(t.energy(), t.expected_hours())
 
 
 @query("duplicate_keys", "SELECT count(*) AS duplicate_keys FROM (SELECT user_id, date_trunc('hour', ts) FROM events GROUP BY 1, 2 HAVING count(*) > 1)")
@@ -451,24 +451,24 @@ def _(t):
 
 
 @query("missing_ranking", with_tables(
-    f"""SELECT b.building_id, b.building_code, {r(f'greatest({EXPECTED_HOURS} - n, 0) / {EXPECTED_HOURS}.0', 'missing_rate')}
+    f"""SELECT b.building_id, b.building_code, {r(f'greatest({EXPECTED_SQL} - n, 0) / {EXPECTED_SQL}::DOUBLE', 'missing_rate')}
     FROM (SELECT sensor_id, count(consumption_kwh) AS n FROM energy GROUP BY 1) e JOIN sensors s ON s.sensor_id = e.sensor_id
     JOIN buildings b ON b.building_id = s.building_id""", "energy", "sensors", "buildings"))
 def _(t):
-    return ag.missing_ranking(t.energy(), t.sensors(), t.buildings(), EXPECTED_HOURS)
+    return ag.missing_ranking(t.energy(), t.sensors(), t.buildings(), t.expected_hours())
 
 
 def _candidates(t: Tables):
-    return ag.missing_ranking(t.energy(), t.sensors(), t.buildings(), EXPECTED_HOURS).join(
+    return ag.missing_ranking(t.energy(), t.sensors(), t.buildings(), t.expected_hours()).join(
         t.buildings().select("building_id", "site_id"), "building_id"
     ).where(F.col("missing_rate") < 0.05)
 
 
 define(
     "candidates", ("energy", "sensors", "buildings"),
-    f"""SELECT b.building_id, b.site_id, greatest({EXPECTED_HOURS} - n, 0) / {EXPECTED_HOURS}.0::DOUBLE AS missing_rate
+    f"""SELECT b.building_id, b.site_id, greatest({EXPECTED_SQL} - n, 0) / {EXPECTED_SQL}::DOUBLE AS missing_rate
     FROM (SELECT sensor_id, count(consumption_kwh) AS n FROM energy GROUP BY 1) e JOIN sensors s ON s.sensor_id = e.sensor_id
-    JOIN buildings b ON b.building_id = s.building_id WHERE greatest({EXPECTED_HOURS} - n, 0) / {EXPECTED_HOURS}.0::DOUBLE < 0.05""",
+    JOIN buildings b ON b.building_id = s.building_id WHERE greatest({EXPECTED_SQL} - n, 0) / {EXPECTED_SQL}::DOUBLE < 0.05""",
 )
 
 

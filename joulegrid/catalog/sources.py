@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from joulegrid.catalog.core import MEASURES
 from joulegrid.catalog.registry import query, r
-from joulegrid.catalog.standins import EXPECTED_HOURS, WIDE_COLUMNS, Tables, define, with_tables
+from joulegrid.catalog.standins import EXPECTED_SQL, WIDE_COLUMNS, Tables, define, with_tables
 from joulegrid.functions import text
 from joulegrid.functions.zones import with_utc
 from joulegrid.plans import inspection
@@ -102,10 +102,10 @@ def _(t):
 @query("quality_report", with_tables(
     f"""SELECT 'duplicate_readings' AS measure, CAST(count(*) AS DOUBLE) AS value FROM (SELECT 1 FROM energy GROUP BY sensor_id, ts HAVING count(*) > 1)
     UNION ALL SELECT 'duplicate_weather', CAST(count(*) AS DOUBLE) FROM (SELECT 1 FROM weather GROUP BY site_id, ts HAVING count(*) > 1)
-    UNION ALL SELECT 'missing_timestamps', CAST(sum(m) AS DOUBLE) FROM (SELECT {EXPECTED_HOURS} - count(*) AS m FROM energy GROUP BY sensor_id)
+    UNION ALL SELECT 'missing_timestamps', CAST(sum(m) AS DOUBLE) FROM (SELECT {EXPECTED_SQL} - count(*) AS m FROM energy GROUP BY sensor_id)
     UNION ALL SELECT 'null_rows', CAST(count(*) AS DOUBLE) FROM energy WHERE consumption_kwh IS NULL""", "energy", "weather"))
 def _(t):
-    report = inspection.quality_report(t.energy(), t.weather(), MEASURES, EXPECTED_HOURS)
+    report = inspection.quality_report(t.energy(), t.weather(), MEASURES, t.expected_hours())
 
     def one(name: str, rows, column):
         return rows.select(F.lit(name).alias("measure"), F.col(column).cast("double").alias("value"))

@@ -17,7 +17,8 @@ from joulegrid.functions import calendar as cal
 from joulegrid.operators import joins, lookups
 
 SENSOR_BASE = 1_000_000
-EXPECTED_HOURS = 744
+# hours of the calendar months that the events span
+EXPECTED_SQL = "(SELECT CAST(date_diff('hour', date_trunc('month', min(ts)), date_trunc('month', max(ts)) + INTERVAL 1 MONTH) AS BIGINT) FROM events)"
 START, END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 PERIODS = {
     "train": (START, "2024-01-20 00:00:00"),
@@ -56,6 +57,11 @@ class Tables:
     def customers(self) -> DataFrame:
         return self.raw("customer")
 
+    def expected_hours(self) -> int:
+        """Hours of the calendar months that the events span: one row to the driver."""
+        first, last = F.date_trunc("month", F.min("ts")), F.date_trunc("month", F.max("ts")) + F.expr("interval 1 month")
+        return self.events().agg(((F.unix_timestamp(last) - F.unix_timestamp(first)) / 3600).cast("long")).first()[0] or 0
+
     # --- facts
 
     def _base(self) -> DataFrame:
