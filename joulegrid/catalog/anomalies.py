@@ -190,9 +190,7 @@ def _(t):
     return worst.select("sensor_id", "ts", (-F.col("_w.order")).alias("feature"), F.col("_w.z").alias("z"))
 
 
-@query("forest_scores")
-def _(t):
-    """Isolation scores by a forest fitted on the training period (rows only: random trees)."""
+def _forest_scores(t):
     rows = written(forest.complete(forest.features(t.dense())))
     train = rows.where(lookups.in_period(F.col("ts"), *PERIODS["train"]))
     scales = forest.scaling(train)
@@ -200,6 +198,22 @@ def _(t):
     return forest.score(forest.with_scaled(rows, scales), nodes, forest.SAMPLE).select("sensor_id", "ts", "score")
 
 
+@query("forest_scores")
+def _(t):
+    """Isolation scores by a forest fitted on the training period (rows only: random trees)."""
+    return _forest_scores(t)
+
+
+@query("forest_score_checks", with_tables(
+    """SELECT f.sensor_id, count(*) AS scored, 0 AS outside FROM hourly_features_dense f JOIN baseline_dense b ON b.sensor_id = f.sensor_id AND b.ts = f.ts
+    WHERE f.consumption_kwh IS NOT NULL AND f.lag_2 IS NOT NULL AND rolling_24h_mean IS NOT NULL AND rolling_24h_std IS NOT NULL AND rolling_168h_mean IS NOT NULL AND b.z IS NOT NULL
+    GROUP BY 1""", "hourly_features_dense", "baseline_dense"))
+def _(t):
+    """What any forest must keep: one score between 0 and 1 for every complete hour."""
+    score = F.col("score")
+    return _forest_scores(t).groupBy("sensor_id").agg(F.countDistinct("ts").alias("scored"), F.count_if(~((score > 0) & (score < 1))).cast("int").alias("outside"))
+
+
 @query("injected_benchmark")
 def _(t):
     """Truth rows of both periods (rows only: hash-driven)."""

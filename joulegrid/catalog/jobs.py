@@ -12,7 +12,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from joulegrid.anomalies import forest, jobs as anomaly_jobs
-from joulegrid.catalog.forecasts import static
+from joulegrid.catalog.forecasts import _READY, _SPLIT, static
 from joulegrid.catalog.registry import query
 from joulegrid.catalog.standins import PERIODS, SENSOR_BASE, Tables, define, with_tables
 from joulegrid.forecasting import company, features as feat, metrics, models
@@ -52,6 +52,20 @@ def _(t):
     return t.spark.createDataFrame(folds)
 
 
+@query("penalty_folds", with_tables(
+    f"""SELECT CAST(b.block - 1 AS INTEGER) AS fold, b.last AS train_last, n.first AS valid_first, n.last AS valid_last
+    FROM (SELECT block, min(origin_ts) AS first, max(origin_ts) AS last FROM (SELECT origin_ts, CAST(ntile(6) OVER (ORDER BY origin_ts) AS INTEGER) AS block FROM (
+      SELECT DISTINCT origin_ts FROM features_dense WHERE {_READY} AND target_kwh IS NOT NULL AND {_SPLIT} = 'train')) GROUP BY 1) b
+    JOIN (SELECT block, min(origin_ts) AS first, max(origin_ts) AS last FROM (SELECT origin_ts, CAST(ntile(6) OVER (ORDER BY origin_ts) AS INTEGER) AS block FROM (
+      SELECT DISTINCT origin_ts FROM features_dense WHERE {_READY} AND target_kwh IS NOT NULL AND {_SPLIT} = 'train')) GROUP BY 1) n ON n.block = b.block + 1""", "features_dense"))
+def _(t):
+    """The expanding windows of the penalty search: training always ends before validation."""
+    found = models.fold_bounds(_training(t).where("split = 'train'"))
+    return t.spark.createDataFrame(
+        [(f["fold"], f["train_last"], f["valid_first"], f["valid_last"]) for f in found], "fold int, train_last timestamp, valid_first timestamp, valid_last timestamp"
+    )
+
+
 @query("model_comparison")
 def _(t):
     """Both baselines and the three fitted models side by side on validation and test."""
