@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from joulegrid.llm.common import arrow_rows, prepare, stored, texts
 
 Q = 10
-EDIT_SHARE = 0.06
+EDIT_SHARE = 0.08
 BLOCK_CHARS = 2_000_000
 _PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -231,7 +231,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFr
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, spans) for every row.
 
-    A document is contaminated if it holds a benchmark text with at most six per cent of its characters
+    A document is contaminated if it holds a benchmark text with at most eight per cent of its characters
     edited, case and kind of white space apart. NULL and empty texts hold none and empty items match
     nowhere; items shorter than q must occur exactly; repeated rows are judged one by one; extra columns
     are ignored; an empty table gives no rows, an empty benchmark no matches.
