@@ -11,12 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of one Arrow batch: whole texts can be long, so batches stay small.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+# ids of eight bytes that may be broadcast: some tens of MB in each executor
+BROADCAST_IDS = 2_000_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on; none of them changes a result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
@@ -51,6 +54,14 @@ def stored(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def few_ids(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """A stored one-column table of ids, broadcast only if it has at most ``bound`` rows.
+
+    Texts that meet few ids then stay where they are; beyond the bound Spark's sort join moves them.
+    """
+    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by :func:`stored` that no later plan reads."""
     for frame in frames:

@@ -9,7 +9,6 @@ candidates count as known in the next round. Identifiers are counted once howeve
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -232,7 +231,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     Keeps the columns; ``n_chars``, where there is one, follows the new text. NULL texts stay NULL.
     """
     found = stored(mentions(docs))
-    extra = _extra_spans(found, discovered(found))
+    extra = stored(_extra_spans(found, discovered(found)))  # its size is then known when the join is planned
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     rows = _with_extra(keyed, extra).select("_row", "text", "extra")
 

@@ -16,13 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from joulegrid.llm.common import arrow_rows, discard, shared_dir, stored, texts
+from joulegrid.llm.common import arrow_rows, few_ids, stored, texts
 from joulegrid.llm.components import components
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
 FAMILIES, FAMILY_BITS = 4, 48
+# shingle fingerprints at similarity 0.8 differ in 9.7 bits of 64 with a deviation of 2.9
+FAR_BITS = 22
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -134,21 +136,27 @@ def similar_groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
 
     Fingerprints of shingles differ in about ten bits at that similarity, out of reach of a ball of radius
     two. Fingerprints of words move far less under small edits, so the balls of several short ones propose
-    candidates, and every candidate pair is verified on the shingle sets. ``node`` is the smallest doc_id of
-    a distinct word sequence and ``root`` that of its group.
+    candidates. Pairs whose shingle sets differ in size by more than the similarity allows, or whose shingle
+    fingerprints are over ``FAR_BITS`` apart, go; every other pair is verified on the shingle sets. ``node``
+    is the smallest doc_id of a distinct word sequence and ``root`` that of its group.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            words = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts(batch)]
-            yield {
-                "doc_id": batch.column("doc_id"), "text_key": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words],
-                "prints": [_word_prints(w, families) for w in words],
-            }
+            out: dict[str, list] = {"text_key": [], "prints": [], "shingle_fp": [], "n": []}
+            for text in texts(batch):
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                hashes = shingle_hashes(text, SHINGLE)
+                out["text_key"].append(xxhash.xxh3_128_digest(b" ".join(words)))
+                out["prints"].append(_word_prints(words, families))
+                out["shingle_fp"].append(_majority(hashes) if len(hashes) else 0)
+                out["n"].append(len(np.unique(hashes)))
+            yield out | {"doc_id": batch.column("doc_id"), "shingle_fp": _signed(out["shingle_fp"])}
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(arrow_rows(source, "doc_id long, text_key binary, prints array<long>", body))
-    nodes = stored(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")).where("node IS NOT NULL"))
+    rows = stored(arrow_rows(source, "doc_id long, text_key binary, prints array<long>, shingle_fp long, n long", body))
+    same_text = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("prints", "shingle_fp", "n")])
+    nodes = stored(same_text.where("node IS NOT NULL"))
     spread = nodes.select("node", F.posexplode("prints").alias("family", "fp"))
     heads = stored(spread.groupBy("family", "fp").agg(F.min("node").alias("head")))
     # texts of one fingerprint meet their smallest one; fingerprints of one ball meet their smallest one
@@ -157,26 +165,28 @@ def similar_groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     near = near.join(heads.select("family", F.col("fp").alias("a"), F.col("head").alias("_a")), ["family", "a"])
     near = near.join(heads.select("family", F.col("fp").alias("b"), F.col("head").alias("_b")), ["family", "b"])
     pairs = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    verified = _verified(source, nodes, pairs)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("shingle_fp").alias(f"fp_{side}"), F.col("n").alias(f"n_{side}")), side)
+    alike = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR_BITS
+    verified = _verified(source, stored(pairs.where(alike & close).select("a", "b")))
     linked = components(verified)
     placed = nodes.select("text_key", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("doc_id", "text_key").join(placed, "text_key", "left")
 
 
-def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, SHINGLE)).view(np.int64) for t in texts(batch)]
+            sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).view(np.int32) for t in texts(batch)]
             yield {"node": batch.column("node"), "shingles": sets}
 
-    chosen = source.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi")
-    # a doc_id that several rows share stands for its first text in order
-    sets = arrow_rows(chosen, "node long, shingles array<long>", body).groupBy("node").agg(F.min("shingles").alias("shingles"))
-    sets = stored(sets)
+    chosen = source.withColumnRenamed("doc_id", "node").join(few_ids(wanted), "node", "left_semi")
+    sets = stored(arrow_rows(chosen, "node long, shingles array<int>", body))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -191,24 +201,23 @@ def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
                 kept.append(union == 0 or shared >= SIMILARITY * union)
             yield {"a": batch.column("a"), "b": batch.column("b"), "kept": kept}
 
-    return arrow_rows(both.select("a", "b", "x", "y"), "a long, b long, kept boolean", measured).where("kept").select("a", "b")
+    # several texts under one doc_id: a pair counts if any of them is similar
+    return arrow_rows(both.select("a", "b", "x", "y"), "a long, b long, kept boolean", measured).where("kept").select("a", "b").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with one row per group of near-duplicates: the one with the smallest doc_id.
 
-    Keeps the columns of ``docs``. Repeated rows collapse to one, blank texts are one group, rows with a
-    NULL doc_id are kept (they can't be told apart). An empty table stays empty.
+    Keeps the columns of ``docs``. Repeated rows collapse to one (of several texts under one doc_id the first
+    in order stays), blank texts are one group, rows with a NULL doc_id are kept (they can't be told apart).
+    An empty table stays empty. Only the ids that go are joined to the texts.
     """
     groups = similar_groups(docs)
-    kept = groups.where("doc_id = root").select("doc_id", "text_key").distinct()
-    unique = stored(kept)
-    shared = stored(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    out = docs.join(unique.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not shared.isEmpty():  # several rows of one id: the row of the chosen text, once
-        twice = out.join(shared, "doc_id", "left_semi")
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        twice = twice.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-        out = out.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
-    nameless = docs.where("doc_id IS NULL")
-    return out.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    ids = stored(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("root")).alias("kept"), F.count("*").alias("n")))
+    out = docs.join(few_ids(stored(ids.where("NOT kept").select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    shared = ids.where("kept AND n > 1").select("doc_id")
+    if shared.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    nth = out.join(shared, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return out.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(nth.select(*docs.columns))
