@@ -14,7 +14,6 @@ only meet the cut-off rank of their stratum.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 

@@ -8,7 +8,6 @@ A cell with too few documents borrows the sketch of its language, then of the wh
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
