@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from joulegrid.functions import calendar as cal, stats
 from joulegrid.functions.medians import bracket, with_exact_median
 from joulegrid.operators.joins import bounded
+from joulegrid.session import written
 
 KWH = "consumption_kwh"
 
@@ -267,12 +268,15 @@ def portfolio_kpis(comparison: DataFrame) -> DataFrame:
 
 
 def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
-    """Counts in equal bins between the column's own minimum and maximum."""
-    ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    """Counts in equal bins between the column's own minimum and maximum.
+
+    The column is written once, so its ends and its bins don't compute the rows twice.
+    """
+    values = written(rows.where(F.col(column).isNotNull()).select(column))
+    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
     return (
-        rows.where(F.col(column).isNotNull())
-        .select(stats.bins(F.col(column), low, high, bins).alias("bin"))
+        values.select(stats.bins(F.col(column), low, high, bins).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
