@@ -122,21 +122,25 @@ def hits(values: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.repeat(position, width), ix.owner[spot], ix.place[spot]
 
 
-def banded(item: np.ndarray, window: np.ndarray, width: int, anchored: bool = False) -> tuple[int, int]:
-    """(edits, end in the window) of the best alignment of the item whose diagonals lie in 0..width-1.
+def banded(item: np.ndarray, window: np.ndarray, width: int, limit: int, anchor: int | None = None) -> tuple[int, int]:
+    """(edits, end in the window) of the best alignment of the item whose diagonals lie in 0..width-1; free end.
 
-    Free start in the window, or at its first character when ``anchored``; free end.
+    The start is free in the window or, with ``anchor``, at its first character, which then stands on that
+    diagonal. The least number of edits never falls from row to row, so an alignment beyond ``limit`` ends early.
     """
-    steps = np.arange(width)
-    row = steps.copy() if anchored else np.zeros(width, dtype=np.int64)
-    padded = np.concatenate([window, np.full(max(0, len(item) + width - len(window)), 0xFFFFFFFF, dtype=np.uint32)])
-    far = len(item) + width + 1
+    steps, far = np.arange(width), len(item) + width + 1
+    row = np.zeros(width, dtype=np.int64) if anchor is None else np.where(steps >= anchor, steps - anchor, far)
+    shift = anchor or 0
+    none = np.uint32(0xFFFFFFFF)
+    padded = np.concatenate([np.full(shift, none), window, np.full(max(0, len(item) + width - shift - len(window)), none)])
     for i, c in enumerate(item):
         down = np.append(row[1:] + 1, far)
         row = np.minimum(row + (padded[i : i + width] != c), down)
         row = np.minimum.accumulate(row - steps) + steps
+        if i % 8 == 7 and row.min() > limit:
+            return limit + 1, 0
     best = int(np.argmin(row))
-    return int(row[best]), min(best + len(item), len(window))
+    return int(row[best]), min(best + len(item) - shift, len(window))
 
 
 def matches(many: list[str], indexes: list[Index]) -> list[list[dict]]:
@@ -188,11 +192,11 @@ def verified(item: np.ndarray, values: np.ndarray, low: int, allowed: int) -> tu
     at = window.tobytes().find(item.tobytes())
     if at >= 0 and at % 4 == 0:
         return start + at // 4, start + at // 4 + len(item), 0
-    edits, end = banded(item, window, width)
+    edits, end = banded(item, window, width, allowed)
     if edits > allowed:
         return None
     # the same alignment from its end gives the start
-    back = banded(item[::-1], window[:end][::-1], 2 * allowed + 1, anchored=True)
+    back = banded(item[::-1], window[:end][::-1], 2 * allowed + 1, allowed, anchor=allowed)
     return start + end - back[1], start + end, edits
 
 
