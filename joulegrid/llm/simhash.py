@@ -9,9 +9,11 @@ Copies share a fingerprint and are collapsed before variants are made.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,9 +24,11 @@ from joulegrid.llm.components import components
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-FAMILIES, FAMILY_BITS = 4, 48
-# shingle fingerprints at similarity 0.8 differ in 9.7 bits of 64 with a deviation of 2.9
-FAR_BITS = 22
+# a shingle is hot from so many texts on, or from more if over HOT_BOUND shingles would be
+HOT_TEXTS, HOT_BOUND = 16, 2_000_000
+# parts of the range of shingles that are counted apart, a power of two
+PARTS = 1024
+_FLUSH = 2_000_000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -111,81 +115,138 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _word_prints(words: list[bytes], families: int) -> list[int]:
-    """``families`` independent ``FAMILY_BITS``-bit SimHashes of the words, each word weighing its letters.
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct five-word shingles as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, SHINGLE))
 
-    Small edits of a text move few of these bits. No words give zeros.
+
+def _set_key(shingles: np.ndarray) -> int:
+    """A number that names a set of shingles: 64 bits of its digest."""
+    return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "little", signed=True)
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles in the order that all texts share: hot ones last, then by hash.
+
+    Of two sets with a similarity of 0.8 or more, each holds at least 0.8 of the other, so they share a
+    shingle within these. Any order that is the same for all texts will do; this one keeps buckets small.
     """
-    if not words:
-        return [0] * families
-    counts: dict[bytes, int] = {}
-    for word in words:
-        counts[word] = counts.get(word, 0) + len(word)
-    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    seeds = range(1, -(-families * FAMILY_BITS // 128) + 1)
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in counts for seed in seeds), dtype=np.uint8).reshape(len(counts), -1)
-    votes = np.zeros(digests.shape[1] * 8, dtype=np.int64)
-    for at in range(0, len(counts), 1 << 13):
-        votes += weights[at : at + (1 << 13)] @ np.unpackbits(digests[at : at + (1 << 13)], axis=1)
-    set_ = votes[: families * FAMILY_BITS].reshape(families, FAMILY_BITS) * 2 > weights.sum()
-    return [int(v) for v in set_ @ (1 << np.arange(FAMILY_BITS, dtype=np.int64))]
-
-
-def similar_groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
-    """(doc_id, text_key, node, root): texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    Fingerprints of shingles differ in about ten bits at that similarity, out of reach of a ball of radius
-    two. Fingerprints of words move far less under small edits, so the balls of several short ones propose
-    candidates. Pairs whose shingle sets differ in size by more than the similarity allows, or whose shingle
-    fingerprints are over ``FAR_BITS`` apart, go; every other pair is verified on the shingle sets. ``node``
-    is the smallest doc_id of a distinct word sequence and ``root`` that of its group.
+    if len(hot):
+        low = shingles.astype(np.uint32)
+        is_hot = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        shingles = np.concatenate([shingles[~is_hot], shingles[is_hot]])
+    return shingles[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1]
+
+
+def hot_shingles(source: DataFrame, total: int) -> np.ndarray:
+    """Sorted low 32 bits of the shingles that stand in many texts, at most ``HOT_BOUND``.
+
+    Shingles travel as blobs, one for each part of their range, four bytes each, and are counted per part.
+    Two shingles that share 32 bits count as one, which only moves them in the order.
     """
+    least = max(HOT_TEXTS, total // HOT_BOUND + 1)
+    shift = np.uint32(32 - PARTS.bit_length() + 1)
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def flushed() -> dict:
+            values = np.sort(np.concatenate(held))
+            parts, starts = np.unique(values >> shift, return_index=True)
+            return {"part": parts.astype(np.int32), "blob": [v.tobytes() for v in np.split(values, starts[1:])]}
+
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            out: dict[str, list] = {"text_key": [], "prints": [], "shingle_fp": [], "n": []}
             for text in texts(batch):
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                hashes = shingle_hashes(text, SHINGLE)
-                out["text_key"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-                out["prints"].append(_word_prints(words, families))
-                out["shingle_fp"].append(_majority(hashes) if len(hashes) else 0)
-                out["n"].append(len(np.unique(hashes)))
-            yield out | {"doc_id": batch.column("doc_id"), "shingle_fp": _signed(out["shingle_fp"])}
+                held.append(shingle_set(text).astype(np.uint32))
+                size += len(held[-1])
+                if size > _FLUSH:
+                    yield flushed()
+                    held, size = [], 0
+        if size:
+            yield flushed()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                parts.setdefault(part, []).append(np.frombuffer(blob, dtype=np.uint32))
+        for part in list(parts):
+            values, counts = np.unique(np.concatenate(parts.pop(part)), return_counts=True)
+            yield {"shingle": values[counts >= least].astype(np.int64)}
+
+    dealt = arrow_rows(source.select("text"), "part int, blob binary", blobs).repartition("part")
+    found = arrow_rows(dealt, "shingle long", counted).toArrow()
+    if found.num_rows > HOT_BOUND:
+        raise AssertionError("more hot shingles than their bound")
+    return np.sort(found.column(0).to_numpy().astype(np.uint32))
+
+
+def _buckets(source: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(shingle, node, n, rest, first, last): the prefix shingles of at least two nodes.
+
+    ``rest`` counts the shingles of the node from this one on, ``first`` and ``last`` are the smallest and
+    the largest of (node, n, rest) of the bucket.
+    """
+    known = source.sparkSession.sparkContext.broadcast(hot)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in texts(batch)]
+            yield {"doc_id": batch.column("doc_id"), "node": [_set_key(s) for s in sets], "n": [len(s) for s in sets], "shingles": [prefix(s, known.value).view(np.int64) for s in sets]}
+
+    rows = arrow_rows(source, "doc_id long, node long, n int, shingles array<long>", body)
+    # of exact copies only the row with the smallest id goes on
+    rows = rows.join(few_ids(stored(nodes.select("doc_id").distinct())), "doc_id", "left_semi")
+    spread = rows.select("node", "n", F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    whole = Window.partitionBy("shingle")
+    one = F.struct("node", "n", "rest")
+    spread = spread.select("*", F.min(one).over(whole).alias("first"), F.max(one).over(whole).alias("last"))
+    return stored(spread.where("first.node <> last.node"))
+
+
+def _may_be_similar(n_a: Column, rest_a: Column, n_b: Column, rest_b: Column) -> Column:
+    """Whether two texts whose first common shingle this is can reach the similarity."""
+    return F.least(rest_a, rest_b) >= SIMILARITY / (1 + SIMILARITY) * (n_a + n_b) - 1e-6
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, root): texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    ``node`` names a distinct set of shingles, ``root`` its group. Candidates come from an exact prefix
+    filter: similar sets share one of their first shingles in a common order, so no similar pair is left
+    out. Every bucket's members first meet its smallest and largest node, which connects large groups by few
+    pairs.
+    """
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in texts(batch)]
+            yield {"doc_id": batch.column("doc_id"), "node": [_set_key(s) for s in sets], "n": [len(s) for s in sets]}
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(arrow_rows(source, "doc_id long, text_key binary, prints array<long>, shingle_fp long, n long", body))
-    same_text = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("prints", "shingle_fp", "n")])
-    nodes = stored(same_text.where("node IS NOT NULL"))
-    spread = nodes.select("node", F.posexplode("prints").alias("family", "fp"))
-    heads = stored(spread.groupBy("family", "fp").agg(F.min("node").alias("head")))
-    # texts of one fingerprint meet their smallest one; fingerprints of one ball meet their smallest one
-    same = spread.join(heads, ["family", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("family", "fp"), ("family",), FAMILY_BITS)
-    near = near.join(heads.select("family", F.col("fp").alias("a"), F.col("head").alias("_a")), ["family", "a"])
-    near = near.join(heads.select("family", F.col("fp").alias("b"), F.col("head").alias("_b")), ["family", "b"])
-    pairs = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("shingle_fp").alias(f"fp_{side}"), F.col("n").alias(f"n_{side}")), side)
-    alike = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-    close = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR_BITS
-    verified = _verified(source, stored(pairs.where(alike & close).select("a", "b")))
-    linked = components(verified)
-    placed = nodes.select("text_key", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.select("doc_id", "text_key").join(placed, "text_key", "left")
-
-
-def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    rows = stored(arrow_rows(source, "doc_id long, node long, n int", body))
+    nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = _buckets(source, nodes, hot_shingles(source, total))
+    ends = [members.select(F.col("node").alias("a"), F.col(f"{e}.node").alias("b"), _may_be_similar(F.col("n"), F.col("rest"), F.col(f"{e}.n"), F.col(f"{e}.rest")).alias("may")) for e in ("first", "last")]
+    near = ends[0].unionByName(ends[1]).where("may AND a <> b")
+    tried = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    verified = _verified(source, nodes, tried)
+    linked = stored(components(verified))
+    return rows.select("doc_id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
-    wanted = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = stored(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct())
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).view(np.int32) for t in texts(batch)]
-            yield {"node": batch.column("node"), "shingles": sets}
+            sets = [shingle_set(t) for t in texts(batch)]
+            yield {"node": [_set_key(s) for s in sets], "shingles": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]}
 
-    chosen = source.withColumnRenamed("doc_id", "node").join(few_ids(wanted), "node", "left_semi")
+    chosen = source.join(few_ids(ids), "doc_id", "left_semi").select("text")
     sets = stored(arrow_rows(chosen, "node long, shingles array<int>", body))
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -201,23 +262,34 @@ def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
                 kept.append(union == 0 or shared >= SIMILARITY * union)
             yield {"a": batch.column("a"), "b": batch.column("b"), "kept": kept}
 
-    # several texts under one doc_id: a pair counts if any of them is similar
+    # repeated rows of one text give a pair several times
     return arrow_rows(both.select("a", "b", "x", "y"), "a long, b long, kept boolean", measured).where("kept").select("a", "b").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with one row per group of near-duplicates: the one with the smallest doc_id.
 
-    Keeps the columns of ``docs``. Repeated rows collapse to one (of several texts under one doc_id the first
-    in order stays), blank texts are one group, rows with a NULL doc_id are kept (they can't be told apart).
-    An empty table stays empty. Only the ids that go are joined to the texts.
+    Keeps the columns of ``docs``. Repeated rows collapse to one; different texts under one doc_id are judged
+    apart (of those in one group the first in order stays). Blank texts are one group, rows with a NULL doc_id
+    are kept (they can't be told apart). An empty table stays empty. Only ids that go, or that stand on
+    several rows, are joined to the texts.
     """
-    groups = similar_groups(docs)
-    ids = stored(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("root")).alias("kept"), F.count("*").alias("n")))
-    out = docs.join(few_ids(stored(ids.where("NOT kept").select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
-    shared = ids.where("kept AND n > 1").select("doc_id")
-    if shared.isEmpty():
-        return out
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    nth = out.join(shared, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return out.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(nth.select(*docs.columns))
+    groups = stored(similar_groups(docs).where("doc_id IS NOT NULL"))
+    heads = groups.groupBy("root").agg(F.min("doc_id").alias("head"))
+    judged = stored(groups.join(heads, "root").select("doc_id", "node", "root", (F.col("doc_id") == F.col("head")).alias("kept")))
+    ids = stored(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    plain = docs.join(few_ids(stored(ids.where("NOT kept OR n > 1").select("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    several = stored(ids.where("kept AND n > 1").select("doc_id"))
+    if several.isEmpty():
+        return plain
+
+    @F.pandas_udf("long")
+    def key(text: pd.Series) -> pd.Series:
+        return pd.Series([_set_key(shingle_set(t or "")) for t in text], dtype="int64")
+
+    shared = docs.join(few_ids(several), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    verdicts = judged.join(several, "doc_id", "left_semi").where("kept").select("doc_id", "node", "root").distinct()
+    shared = shared.withColumn("node", key("text")).join(verdicts, ["doc_id", "node"])
+    order = Window.partitionBy("doc_id", "root").orderBy(F.col("text").asc_nulls_first())
+    nth = shared.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return plain.unionByName(nth.select("_row.*"))
