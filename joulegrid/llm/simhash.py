@@ -215,7 +215,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     ``node`` names a distinct set of shingles, ``root`` its group. Candidates come from an exact prefix
     filter: similar sets share one of their first shingles in a common order, so no similar pair is left
     out. Every bucket's members first meet its smallest and largest node, which connects large groups by few
-    pairs.
+    pairs; all other pairs of a bucket whose sizes and places allow the similarity are verified if their
+    nodes are not connected by then.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -233,9 +234,26 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     tried = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     verified = _verified(source, nodes, tried)
     linked = stored(components(verified))
+    left = _left(members, linked, tried)
+    if not left.isEmpty():
+        verified = verified.unionByName(_verified(source, nodes, left))
+        linked = stored(components(stored(verified)))
     return rows.select("doc_id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _left(members: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs of a bucket that its ends did not connect and that were not verified yet."""
+    placed = members.select("shingle", "node", "n", "rest").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = Window.partitionBy("shingle")
+    placed = placed.withColumns({"_least": F.min("root").over(whole), "_most": F.max("root").over(whole)}).where("_least <> _most")
+    placed = stored(placed.select("shingle", "node", "n", "rest", "root"))
+    other = placed.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "rest", "root")])
+    met = placed.join(other, "shingle").where((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")))
+    met = met.where(_may_be_similar(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b")))
+    pairs = met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    return stored(pairs.join(tried, ["a", "b"], "left_anti"))
+
+
 def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

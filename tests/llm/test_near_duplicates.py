@@ -38,3 +38,37 @@ def test_appended_truncated_and_replaced_blocks_are_found(spark):
         rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
         want.append(2 * g)
     assert kept(spark, rows) == want
+
+
+def test_texts_unlike_the_head_of_their_bucket_meet_each_other(spark):
+    r = random.Random(4)
+    rows, want = [], []
+    for g in range(20):
+        sentences = [[word(r) for _ in range(6)] for _ in range(12)]
+        turned = sentences[::-1]
+        r.shuffle(turned)
+        swapped = [w for s in turned for w in s]
+        swapped[30], swapped[31] = swapped[31], swapped[30]
+        a, b, c = (" ".join(w for s in sentences for w in s), " ".join(w for s in turned for w in s), " ".join(swapped))
+        assert not similar(a, b) and not similar(a, c) and similar(b, c)
+        rows += [(3 * g, a), (3 * g + 1, b), (3 * g + 2, c)]
+        want += [3 * g, 3 * g + 1]
+    assert kept(spark, rows) == want
+
+
+def test_groups_of_a_shared_passage_equal_all_pairs(spark):
+    r = random.Random(5)
+    passages = [[word(r) for _ in range(40)] for _ in range(4)]
+    texts = []
+    for i in range(80):  # a bucket holds many texts, of several groups, in chains
+        text = [w for p in sorted(r.sample(range(4), 3)) for w in passages[p]]
+        for p in r.sample(range(len(text)), r.randrange(4)):
+            text[p] = word(r)
+        texts.append(" ".join(text))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if similar(texts[a], texts[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert kept(spark, list(enumerate(texts))) == sorted(set(root))
