@@ -72,3 +72,13 @@ def test_groups_of_a_shared_passage_equal_all_pairs(spark):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     assert kept(spark, list(enumerate(texts))) == sorted(set(root))
+
+
+def test_repeated_lines_do_not_part_equal_shingle_sets(spark):
+    r = random.Random(6)
+    rows = []
+    for g in range(10):
+        body, line = [word(r) for _ in range(80)], [word(r) for _ in range(12)]
+        rows += [(2 * g, " ".join(body + line + line)), (2 * g + 1, " ".join(body + line * 60))]
+        assert shingles(rows[-1][1]) == shingles(rows[-2][1])
+    assert kept(spark, rows) == list(range(0, 20, 2))
