@@ -89,9 +89,13 @@ def strata(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     scale = (F.col("rest") - F.coalesce(F.sum("words").over(above), F.lit(0))) / F.sum("squares").over(below)
     joined = joined.withColumn("_scale", scale)
     fits = (F.col("_scale") >= 0) & (F.col("_scale") * F.col("most") <= 1)
-    first = F.max(F.when(fits, F.struct("stratum", "_scale"))).over(Window.partitionBy("source"))
-    joined = joined.withColumn("scale", F.coalesce(first["_scale"], F.lit(0.0)))
-    joined = joined.withColumn("p", F.when(F.col("stratum") > first["stratum"], 1.0).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("words") / F.col("n"))))
+    each = Window.partitionBy("source")
+    fitting = F.max(F.when(fits, F.struct("stratum", "_scale"))).over(each)
+    # a rest of nearly all words in nearly equal sizes fits none: the lowest stratum it reaches, whose largest documents go beyond one
+    first = F.coalesce(fitting, F.min(F.when(F.col("_scale") >= 0, F.struct("stratum", "_scale"))).over(each))
+    mean = F.when(fitting.isNotNull(), F.col("words") / F.col("n")).otherwise(F.col("squares") / F.col("words"))
+    joined = joined.withColumns({"scale": F.coalesce(first["_scale"], F.lit(0.0)), "_first": first["stratum"], "_mean": mean})
+    joined = joined.withColumn("p", F.when(F.col("stratum") > F.col("_first"), 1.0).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("_mean"))))
     # at most a few hundred strata per source, from large to small, with the error carried along
     listed = joined.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("stratum")).alias("k"), "n", "words", "p")), True).alias("s"))
 
