@@ -82,3 +82,11 @@ def test_repeated_lines_do_not_part_equal_shingle_sets(spark):
         rows += [(2 * g, " ".join(body + line + line)), (2 * g + 1, " ".join(body + line * 60))]
         assert shingles(rows[-1][1]) == shingles(rows[-2][1])
     assert kept(spark, rows) == list(range(0, 20, 2))
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    r = random.Random(7)
+    a, b, c = (" ".join(word(r) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, b), (4, a)]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in left) == sorted([(1, a), (2, b), (3, c)])
