@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from joulegrid.llm import decontamination, mixing, oracles, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc
+from joulegrid.llm import (
+    decontamination, mixing, oracles, periodic, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc,
+)
 from joulegrid.llm.common import table
 
 
@@ -52,8 +55,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3)
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text, by a hash of its id, goes on with one period from some word on. Without an id none does."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.periodic_runs(table(spark, sf_dir, "documents"), planted_period)
+    better = "aggregate(runs, runs[0], (m, r) -> if(r.length * m.period > m.length * r.period, r, m))"
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    best = rows.withColumn("best", F.when(F.size("runs") > 0, F.expr(better)))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix, op2_pii, op3_toxicity, op4_quality, op5_warc, op6_tokens, op7_substrings, op8_rules, op9_decontaminate, op10_simhash)
+    for f in (
+        op1_mix, op2_pii, op3_toxicity, op4_quality, op5_warc, op6_tokens, op7_substrings, op8_rules, op9_decontaminate,
+        op10_simhash, op13_runs,
+    )
 }
 ORACLES: dict[str, str] = {"op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql()}
