@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from joulegrid.llm import mixing, quality_rules as rules
+from joulegrid.llm import mixing, pathtree, quality_rules as rules
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -101,3 +101,48 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY source, k ORDER BY (u / (1 - u))
 copies AS (SELECT doc_id, source, size, CAST(whole AS BIGINT) + CASE WHEN place <= take THEN 1 ELSE 0 END AS copies FROM ranked
   UNION ALL SELECT doc_id, source, size, 0 FROM docs WHERE size = 0)
 SELECT c.doc_id, c.size, g.source_size, g.target, c.copies * c.size AS taken, c.copies FROM copies c JOIN goals g ON g.source IS NOT DISTINCT FROM c.source"""
+
+
+def urls_sql(url_rules: list[pathtree.Rule]) -> str:
+    """``op12_urls``: the tree level by level; the branches of a node join groups by a recursive walk over their ranks."""
+    fits = {f"{d}{p}": f"(host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}')" for d, p, _ in pathtree.by_length(url_rules)}
+    rule = "CASE " + " ".join(f"WHEN {fit} THEN '{name}'" for name, fit in fits.items()) + " END"
+    label = "CASE rule " + " ".join(f"WHEN '{d}{p}' THEN '{verdict}'" for d, p, verdict in url_rules) + " END"
+
+    def smoothed(blocked: str, labelled: str, above: str) -> str:
+        return f"((CAST({blocked} AS DOUBLE) + {pathtree.PRIOR}::DOUBLE * {above}) / (CAST({labelled} AS DOUBLE) + {pathtree.PRIOR}::DOUBLE))"
+
+    a, m, b, n = "CAST(m.b AS DOUBLE)", "CAST(o.l AS DOUBLE)", "CAST(o.b AS DOUBLE)", "CAST(m.l AS DOUBLE)"
+    apart, spread = f"({a} * {m} - {b} * {n})", f"(({a} + {b}) * ({n} + {m} - ({a} + {b})))"
+    alike = f"CASE WHEN m.l = 0 OR o.l = 0 THEN m.l = o.l ELSE {apart} * {apart} * ({n} + {m}) <= {pathtree.DIFFERENT!r}::DOUBLE * ({n} * {m}) * {spread} END"
+    levels, ended = [], ["SELECT host, shape, q FROM s0 WHERE len(segs) = 0"]
+    for d in range(1, pathtree.LEVELS + 1):
+        last = d == pathtree.LEVELS
+        levels.append(f"""
+h{d} AS MATERIALIZED (SELECT *, {f"'{pathtree.REST}'" if last else f"segs[{d}]"} AS seg FROM s{d - 1} WHERE len(segs) >= {d}),
+k{d} AS MATERIALIZED (SELECT host, node, seg, CAST(sum(n) AS BIGINT) AS n, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(q) AS q FROM h{d} GROUP BY 1, 2, 3),
+c{d} AS MATERIALIZED (SELECT host, node, branch, CAST(sum(l) AS BIGINT) AS l, CAST(sum(b) AS BIGINT) AS b, max(q) AS q FROM
+  (SELECT *, CASE WHEN n * {pathtree.LITERAL} >= sum(n) OVER (PARTITION BY host, node) THEN seg ELSE '{pathtree.WILD}' END AS branch FROM k{d}) GROUP BY 1, 2, 3),
+o{d} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY host, node ORDER BY rate, branch) AS r FROM (SELECT *, CASE WHEN l > 0 THEN b / l ELSE -1 END AS rate FROM c{d})),
+m{d} AS (SELECT host, node, branch, q, r, branch AS rep, l, b FROM o{d} WHERE r = 1
+  UNION ALL SELECT host, node, branch, q, r, CASE WHEN alike THEN rep ELSE branch END, CASE WHEN alike THEN l0 + l ELSE l END, CASE WHEN alike THEN b0 + b ELSE b END
+  FROM (SELECT o.host, o.node, o.branch, o.q, o.r, m.rep, o.l, o.b, m.l AS l0, m.b AS b0, {alike} AS alike FROM m{d} m JOIN o{d} o ON o.host = m.host AND o.node = m.node AND o.r = m.r + 1)),
+g{d} AS MATERIALIZED (SELECT host, node, branch, rep, {smoothed("last_value(b) OVER w", "last_value(l) OVER w", "q")} AS q FROM m{d}
+  WINDOW w AS (PARTITION BY host, node, rep ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+s{d} AS MATERIALIZED (SELECT h.host, h.shape, h.segs, h.n, h.l, h.b, coalesce(x.q, y.q) AS q, h.node || '/' || coalesce(x.rep, y.rep) AS node FROM h{d} h
+  LEFT JOIN g{d} x ON x.host = h.host AND x.node = h.node AND x.branch = h.seg
+  LEFT JOIN g{d} y ON y.host = h.host AND y.node = h.node AND y.branch = '{pathtree.WILD}')""")
+        ended.append(f"SELECT host, shape, q FROM s{d}" + ("" if last else f" WHERE len(segs) = {d}"))
+    return f"""
+WITH RECURSIVE parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+ruled AS MATERIALIZED (SELECT *, {label} AS label, regexp_replace(replace(path, '*', '%2A'), '[0-9]+', '#', 'g') AS shape FROM (SELECT *, {rule} AS rule FROM named)),
+shapes AS MATERIALIZED (SELECT host, shape, count(*) AS n, count(label) AS l, count(*) FILTER (label = 'block') AS b,
+  CASE WHEN shape = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(substr(shape, 2), '/') END AS segs FROM ruled GROUP BY host, shape),
+hosts AS MATERIALIZED (SELECT host, {smoothed("sum(b)", "sum(l)", "(SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(l), 0) + 2.0::DOUBLE) FROM shapes)")} AS q FROM shapes GROUP BY host),
+s0 AS MATERIALIZED (SELECT shapes.*, q, '' AS node FROM shapes JOIN hosts USING (host)),{",".join(levels)},
+ended AS MATERIALIZED ({" UNION ALL ".join(ended)})
+SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN q > {pathtree.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r JOIN ended e ON e.host = r.host AND e.shape = r.shape
+"""

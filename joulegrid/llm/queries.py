@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulegrid.llm import (
-    decontamination, mixing, oracles, periodic, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc,
+    conversations, decontamination, mixing, oracles, pathtree, periodic, pii, quality, quality_rules, simhash, substrings, tokencount, toxicity, warc,
 )
 from joulegrid.llm.common import table
 
@@ -55,6 +55,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows whose faults are chosen by a hash of conversation and turn; ``copies`` is 0 for dropped, 2 for repeated ones."""
+    def shown(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("fault") == 0, 0).when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.repaired_pieces(rows, F.col("copies")))
+
+
+URL_RULES: list[pathtree.Rule] = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pathtree.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """Every tenth text, by a hash of its id, goes on with one period from some word on. Without an id none does."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -86,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix, op2_pii, op3_toxicity, op4_quality, op5_warc, op6_tokens, op7_substrings, op8_rules, op9_decontaminate,
-        op10_simhash, op13_runs,
+        op10_simhash, op11_repair, op12_urls, op13_runs,
     )
 }
-ORACLES: dict[str, str] = {"op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql()}
+ORACLES: dict[str, str] = {
+    "op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql(), "op12_urls": oracles.urls_sql(URL_RULES),
+}
