@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from joulegrid.llm import mixing, pathtree, quality_rules as rules
+from joulegrid.llm import conversations as conv, mixing, pathtree, quality_rules as rules
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -146,3 +146,49 @@ ended AS MATERIALIZED ({" UNION ALL ".join(ended)})
 SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN q > {pathtree.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r JOIN ended e ON e.host = r.host AND e.shape = r.shape
 """
+
+
+def repair_sql() -> str:
+    """``op11_repair``: whole audits and texts of the four states, carried from row to row by a recursive query."""
+    moves = []
+    for initial in ("s", "u", "a", ""):
+        for forced, cut in ((True, False), (False, False), (False, True)):
+            cost = {(s, to): c for s, to, c, _ in conv.steps(initial, forced, cut)[0]}
+            for (s, to), word in conv.steps(initial, forced, cut)[1].items():
+                before, at = "", s
+                for _ in range(word.count("I")):
+                    before, at = before + ("assistant:" if at == conv.USER else "user:") + "\\n", conv.ASSISTANT if at == conv.USER else conv.USER
+                role = {"D": "NULL", "K": "''", "R": "'assistant'" if at == conv.USER else "'user'"}[word[-1]]
+                moves.append(f"('{initial}', {forced}, {cut}, {s}, {to}, {cost[s, to]}, '{word}', E'{before}', {role})")
+    closing = "(0, 0, '', ''), (1, 4, 'II', E'user:\\nassistant:\\n'), (2, 2, 'I', E'assistant:\\n'), (3, 0, '', '')"
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda ch: list_transform(range(8), lambda j: (ascii(ch) >> j) & 1)))),
+  lambda c, bit: xor(c >> 1, 3988292384::BIGINT * (xor(c, bit) & 1))), 4294967295::BIGINT) % 20 AS fault FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN fault = 0 THEN 0 WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS r FROM damaged),
+judged AS MATERIALIZED (SELECT *, NOT regexp_matches(text, '[^{_SPACE}]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][{_SPACE}]*$') AS cut, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS following FROM ordered),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+  count(*) FILTER (following IS NOT NULL AND left(role, 1) || following NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+moves(initial, forced, cut, s, nxt, c, word, before, own) AS MATERIALIZED (VALUES {", ".join(moves)}),
+kinds AS MATERIALIZED (SELECT conv_id, r, role, text, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '' END AS initial,
+  blank OR again AS forced, cut AND NOT (blank OR again) AS cut FROM judged),
+walked AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM conversations
+  UNION ALL SELECT conv_id, r, nxt, cost, audit, lines FROM (
+    SELECT w.conv_id, k.r, m.nxt, w.cost + m.c AS cost, w.audit || m.word AS audit,
+      w.lines || m.before || CASE WHEN m.own IS NULL THEN '' WHEN m.own = '' THEN k.role || ':' || k.text || chr(10) ELSE m.own || ':' || k.text || chr(10) END AS lines
+    FROM walked w JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.r = w.r + 1
+      JOIN moves m ON m.initial = k.initial AND m.forced = k.forced AND m.cut = k.cut AND m.s = w.s)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, nxt ORDER BY cost, audit) = 1),
+sizes AS (SELECT conv_id, max(r) AS n FROM walked GROUP BY conv_id),
+closed AS (SELECT w.conv_id, w.cost + e.c AS cost, w.audit || e.word AS audit, w.lines || e.after AS lines FROM walked w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.r
+  JOIN (VALUES {closing}) e(s, c, word, after) ON e.s = w.s QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + e.c, w.audit || e.word) = 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  cost, audit, sha256(CASE WHEN lines = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM closed d LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM d.conv_id
+"""

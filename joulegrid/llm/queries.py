@@ -117,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql(), "op12_urls": oracles.urls_sql(URL_RULES),
+    "op1_mix": oracles.mix_sql(), "op8_rules": oracles.rules_sql(), "op11_repair": oracles.repair_sql(),
+    "op12_urls": oracles.urls_sql(URL_RULES),
 }

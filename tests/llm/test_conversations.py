@@ -8,10 +8,12 @@ import random
 import re
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from joulegrid.llm import common, conversations as conv, queries
+from joulegrid.llm import common, conversations as conv, oracles, queries
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["Yes.", "No!", "why", "", " \n", "a?", "b. c", "Fine. \n"]
@@ -188,12 +190,25 @@ def test_long_conversation_ends():
     assert got["audit"].translate(str.maketrans("", "", "I")) and len(got["audit"].replace("I", "")) == len(rows)
 
 
-def test_query_against_whole_audits(spark):
-    given = common.table(spark, SF, "conversations").collect()
+def test_sql_says_the_same(talks):
+    rows, _ = talks
+    given = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", given)
+    assert sorted(con.execute(oracles.repair_sql()).fetchall(), key=str) == damaged_and_expected([dict(zip(given.columns, r)) for r in rows])
+
+
+def damaged_and_expected(given) -> list[tuple]:
     rows, copies = [], []
     for x in given:
-        k = zlib.crc32(f"{x['conv_id']}:{x['turn']}".encode()) % 20
-        text = "" if k == 1 else re.sub("[.!?]", "", x["text"]) if k == 2 else x["text"]
-        rows.append((x["conv_id"], x["turn"], "user" if k == 4 else x["role"], text))
+        named = [" " if x[c] is None else x[c] for c in ("conv_id", "turn", "role", "text")]
+        k = zlib.crc32(f"{named[0]}:{named[1]}".encode()) % 20
+        text = "" if k == 1 else re.sub("[.!?]", "", named[3]) if k == 2 else named[3]
+        rows.append((x["conv_id"], x["turn"], "user" if k == 4 else named[2], text))
         copies.append(0 if k == 0 else 2 if k == 3 else 1)
-    assert collected(queries.op11_repair(spark, SF)) == expected(rows, copies)
+    return expected(rows, copies)
+
+
+def test_query_against_whole_audits(spark):
+    given = [x.asDict() for x in common.table(spark, SF, "conversations").collect()]
+    assert collected(queries.op11_repair(spark, SF)) == damaged_and_expected(given)
