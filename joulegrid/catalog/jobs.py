@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from joulegrid.anomalies import forest, jobs as anomaly_jobs
@@ -16,8 +15,9 @@ from joulegrid.catalog.forecasts import _READY, _SPLIT, static
 from joulegrid.catalog.registry import query
 from joulegrid.catalog.standins import PERIODS, SENSOR_BASE, Tables, define, with_tables
 from joulegrid.forecasting import company, features as feat, metrics, models
+from joulegrid.forecasting.forest import assembled
 from joulegrid.functions import calendar as cal
-from joulegrid.functions.medians import exact_percentiles
+from joulegrid.functions.medians import exact_medians, exact_percentiles
 from joulegrid.operators import joins, lookups
 from joulegrid.session import checkpoint_dir, written
 
@@ -25,13 +25,13 @@ def _training(t: Tables) -> DataFrame:
     return written(feat.training_rows(feat.feature_table(t.dense(), static(t)), PERIODS))
 
 
-def _fitted(rows: DataFrame, name: str) -> PipelineModel:
+def _fitted(rows: DataFrame, name: str) -> models.Model:
     train = rows.where("split = 'train'").drop("split")
     if name == "ridge":
-        return models.fit(train, models.ridge(train, models.search_alpha(train)[0]), True)
+        return models.fit_ridge(train)[0]
     if name == "random_forest":
-        return models.fit(train, models.random_forest(), False)
-    return models.fit(train, models.boosted_trees(), False)
+        return models.random_forest(train)
+    return models.boosted_trees(train)
 
 
 def _forecast(t: Tables, name: str) -> DataFrame:
@@ -44,6 +44,25 @@ for _name in ("ridge", "random_forest", "gradient_boosting"):
     query(f"{_name}_forecast")(lambda t, n=_name: _forecast(t, n))
 
 
+@query("trained_model_checks", "SELECT unnest(['gradient_boosting', 'random_forest']) AS model_name, unnest([true, true]) AS beats_both_baselines, unnest([100, 100]) AS trees, unnest([31, 0]) AS most_leaves")
+def _(t):
+    """Full-size forest and boosting against both baselines on the validation rows, and their published sizes.
+
+    ``most_leaves`` is the largest number of leaves of a boosted tree; forest trees have no such limit.
+    """
+    rows = _training(t)
+    held_out = rows.where("split = 'validation'")
+    fitted = {name: _fitted(rows, name) for name in ("gradient_boosting", "random_forest")}
+    error = F.sqrt(F.avg(F.pow(F.col(models.LABEL).cast("double") - F.col(models.OUTPUT).cast("double"), 2)))
+    bar = min(joins.seasonal_naive(held_out, t.dense(), hours).where(F.col(models.OUTPUT).isNotNull()).agg(error).first()[0] for hours in models.BASELINES.values())
+    out = []
+    for name, model in fitted.items():
+        leaves = [int((tree[0] < 0).sum()) for tree in assembled(model.nodes.where("tree > 0").collect())] if name == "gradient_boosting" else []
+        trees = len(leaves) if leaves else model.nodes.select("tree").distinct().count()
+        out.append((name, model.transform(held_out).agg(error).first()[0] < bar, trees, max(leaves, default=0)))
+    return t.spark.createDataFrame(out, "model_name string, beats_both_baselines boolean, trees int, most_leaves int")
+
+
 @query("ridge_alpha_search")
 def _(t):
     """Validation RMSE of every penalty and expanding window."""
@@ -52,6 +71,13 @@ def _(t):
     return t.spark.createDataFrame(folds)
 
 
+define(
+    "origin_blocks", ("features_dense",),
+    f"""SELECT origin_ts AS origin, CAST(ntile(6) OVER (ORDER BY origin_ts) AS INTEGER) AS block FROM (
+      SELECT DISTINCT origin_ts FROM features_dense WHERE {_READY} AND target_kwh IS NOT NULL AND {_SPLIT} = 'train')""",
+)
+
+
 @query("penalty_folds", with_tables(
     f"""SELECT CAST(b.block - 1 AS INTEGER) AS fold, b.last AS train_last, n.first AS valid_first, n.last AS valid_last
     FROM (SELECT block, min(origin_ts) AS first, max(origin_ts) AS last FROM (SELECT origin_ts, CAST(ntile(6) OVER (ORDER BY origin_ts) AS INTEGER) AS block FROM (
@@ -66,6 +92,44 @@ def _(t):
     )
 
 
+_TRAIN_SQL = f"features_dense WHERE {_READY} AND target_kwh IS NOT NULL AND {_SPLIT} = 'train'"
+
+
+@query("imputing_medians", with_tables(
+    "SELECT unnest(['number_of_floors', 'occupants']) AS name, round(unnest([quantile_cont(CAST(b.number_of_floors AS DOUBLE), 0.5), quantile_cont(CAST(b.occupants AS DOUBLE), 0.5)]), 6) AS median"
+    f" FROM (SELECT building_id FROM {_TRAIN_SQL}) f JOIN buildings b ON b.building_id = f.building_id", "features_dense", "buildings"))
+def _(t):
+    """The values that stand in for missing floors and occupants: exact medians of the training rows."""
+    train = feat.with_split(feat.feature_table(t.dense(), static(t)), PERIODS).where("split = 'train'")
+    found = exact_medians(written(lookups.complete_cases(train, feat.REQUIRED).select(*feat.IMPUTED)), feat.IMPUTED)
+    return t.spark.createDataFrame(list(found.items()), "name string, median double")
+
+
+_Z = [
+    "1.0::DOUBLE", "CAST(hour(target_local) AS DOUBLE)", "CAST(dayofweek(target_local) AS DOUBLE)", "CAST(day(target_local) AS DOUBLE)",
+    "CAST(month(target_local) AS DOUBLE)", "CASE WHEN dayofweek(target_local) IN (0, 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+    *[f"CAST({c} AS DOUBLE)" for c in feat.LAG_COLUMNS + feat.ROLLING_COLUMNS], "area_sqm", "CAST(horizon AS DOUBLE)", "target_kwh",
+]
+
+
+@query("ridge_products", with_tables(
+    f"""SELECT block, unnest([{", ".join(f"{i}" for i in range(len(_Z)) for j in range(i + 1))}]) AS a, unnest([{", ".join(f"{j}" for i in range(len(_Z)) for j in range(i + 1))}]) AS b,
+    round(unnest([{", ".join(f"avg(z{i} * z{j})" for i in range(len(_Z)) for j in range(i + 1))}]) + 1e-7, 4) + 0.0 AS mean_product
+    FROM (SELECT CAST(k.block - 1 AS INTEGER) AS block, {", ".join(f"{z} AS z{i}" for i, z in enumerate(_Z))} FROM {_TRAIN_SQL.replace("features_dense", "features_dense f JOIN origin_blocks k ON k.origin = f.origin_ts", 1)}) GROUP BY block""",
+    "features_dense", "origin_blocks"))
+def _(t):
+    """Mean products of the columns without missing values (but for sines and cosines), per block of origins: the only sums ridge is fitted from."""
+    train = _training(t).where("split = 'train'").drop("split")
+    found, _ = models.ridge_products(train)
+    wanted = ("1", *found.numbers, "label")
+    keep = [i for i, name in enumerate(found.names) if name in wanted and not name.endswith(("_sin", "_cos"))]
+    rows = [
+        (block, a, b, round(float(gram[keep[a], keep[b]] / gram[0, 0]) + 1e-7, 4) + 0.0)  # exact halves round up on both sides
+        for block, gram in found.sums.items() for a in range(len(keep)) for b in range(a + 1)
+    ]
+    return t.spark.createDataFrame(rows, "block int, a int, b int, mean_product double")
+
+
 @query("model_comparison")
 def _(t):
     """Both baselines and the three fitted models side by side on validation and test."""

@@ -7,7 +7,6 @@ bounded time chunks, so no group is unbounded.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.forecasting import features as feat, models
@@ -166,7 +165,7 @@ def use_warning(known: list[str]) -> Column:
 
 
 def forecast(
-    buildings: DataFrame, energy: DataFrame, model: PipelineModel, model_name: str = "random_forest", version: str = "v1", max_rows: int | None = None,
+    buildings: DataFrame, energy: DataFrame, model: models.Model, model_name: str = "random_forest", version: str = "v1", max_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecast rows, warnings, rejections). Only ``model.transform`` is called, nothing is fitted."""
     static, readings, rejections = validate(buildings, energy, max_rows)

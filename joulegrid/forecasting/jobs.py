@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulegrid import schema
@@ -34,7 +33,7 @@ def score_baseline(requests: DataFrame, readings: DataFrame, name: str) -> DataF
     return joins.seasonal_naive(requests, readings, models.BASELINES[name], models.OUTPUT)
 
 
-def score(requests: DataFrame, readings: DataFrame, name: str, model: PipelineModel | None) -> DataFrame:
+def score(requests: DataFrame, readings: DataFrame, name: str, model: models.Model | None) -> DataFrame:
     if name in models.BASELINES:
         return score_baseline(requests, readings, name)
     return model.transform(requests)
@@ -48,12 +47,12 @@ def prediction_rows(scored: DataFrame, name: str, version: str = VERSION) -> Dat
     )
 
 
-def predict_latest(origins: DataFrame, readings: DataFrame, name: str, model: PipelineModel | None = None) -> DataFrame:
+def predict_latest(origins: DataFrame, readings: DataFrame, name: str, model: models.Model | None = None) -> DataFrame:
     """The next 24 hours of every sensor from its latest usable origin."""
     return prediction_rows(score(feat.latest_request(origins), readings, name, model), name)
 
 
-def backfill(origins: DataFrame, readings: DataFrame, name: str, start, end, model: PipelineModel | None = None) -> DataFrame:
+def backfill(origins: DataFrame, readings: DataFrame, name: str, start, end, model: models.Model | None = None) -> DataFrame:
     """Forecasts of every origin in a half-open range, by a model that is already fitted."""
     return prediction_rows(score(feat.range_request(origins, start, end), readings, name, model), name)
 
@@ -65,15 +64,15 @@ def store_predictions(spark: SparkSession, path: str, predictions: DataFrame) ->
     )
 
 
-def _fit(name: str, train: DataFrame, settings: Settings) -> tuple[PipelineModel, dict, list[dict]]:
+def _fit(name: str, train: DataFrame, settings: Settings) -> tuple[models.Model, dict, list[dict]]:
     if name == "ridge":
-        alpha, folds = models.search_alpha(train, settings.alphas, settings.folds)
-        return models.fit(train, models.ridge(train, alpha), True), {"alpha": alpha}, folds
+        model, alpha, folds = models.fit_ridge(train, settings.alphas, settings.folds)
+        return model, {"alpha": alpha}, folds
     if name == "random_forest":
         shape = {"trees": settings.trees, "depth": settings.forest_depth, "leaf": settings.leaf}
-        return models.fit(train, models.random_forest(**shape), False), shape, []
+        return models.random_forest(train, **shape), shape, []
     shape = {"iterations": settings.boosting_rounds}
-    return models.fit(train, models.boosted_trees(**shape), False), shape, []
+    return models.boosted_trees(train, **shape), shape, []
 
 
 def train(
@@ -103,7 +102,7 @@ def train(
             model, shape, found = _fit(name, training, settings)
             folds += found
             path = f"{out}/models/{name}"
-            model.write().overwrite().save(path)
+            models.save(model, path)
         scored = score(held_out, readings, name, model).select(F.lit(name).alias("model_name"), *keep)
         scored.write.mode("overwrite").parquet(f"{out}/scored/model={name}")
         registry.append((name, shape, path))
@@ -144,8 +143,8 @@ def record_versions(spark: SparkSession, path: str, registry: list[tuple], table
     )
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> models.Model:
+    return models.load(SparkSession.active(), path)
 
 
 def selected_model(spark: SparkSession, out: str) -> str:

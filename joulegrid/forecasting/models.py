@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
+    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from joulegrid.forecasting import boosting, forest, ridge as ridge_fit
 from joulegrid.forecasting.features import IMPUTED, LAG_COLUMNS, ROLLING_COLUMNS
 from joulegrid.functions.calendar import CALENDAR_COLUMNS
+from joulegrid.functions.medians import exact_medians
+from joulegrid.sources import tables
 
 SEED = 42
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
@@ -33,9 +36,9 @@ def preprocessing(train: DataFrame, scale: bool) -> list:
     mode = train.where(F.col("primary_use").isNotNull()).groupBy("primary_use").count().orderBy(F.col("count").desc(), "primary_use").first()
     use = _quoted(mode[0]) if mode else "''"
     imputed = [f"{c}_filled" for c in IMPUTED]
+    filled = [f"coalesce(CAST({c} AS DOUBLE), {(m or 0.0)!r}D) AS {c}_filled" for c, m in exact_medians(train, IMPUTED).items()]
     stages = [
-        SQLTransformer(statement=f"SELECT *, coalesce(primary_use, {use}) AS use_filled FROM __THIS__"),
-        Imputer(strategy="median", inputCols=IMPUTED, outputCols=imputed),
+        SQLTransformer(statement=f"SELECT *, coalesce(primary_use, {use}) AS use_filled, {', '.join(filled)} FROM __THIS__"),
         StringIndexer(inputCol="use_filled", outputCol="use_index", handleInvalid="keep"),
         OneHotEncoder(inputCol="use_index", outputCol="use_flags", dropLast=True),
         VectorAssembler(inputCols=[*_PLAIN, *imputed], outputCol="numbers"),
@@ -62,25 +65,40 @@ def ridge(train: DataFrame, alpha: float) -> LinearRegression:
     )
 
 
-def random_forest(trees: int = 100, depth: int = 20, leaf: int = 5, seed: int = SEED) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=LABEL, predictionCol=OUTPUT, numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024,
-    )
+def random_forest(train: DataFrame, trees: int = 100, depth: int = 20, leaf: int = 5, seed: int = SEED) -> forest.Forest:
+    """A fitted forest; every tree sees all features."""
+    prepared = Pipeline(stages=preprocessing(train, scale=False)).fit(train)
+    return forest.fit(train, prepared, LABEL, OUTPUT, trees=trees, depth=depth, leaf=leaf, seed=seed)
 
 
-def boosted_trees(iterations: int = 100, depth: int = 5, bins: int = 255, seed: int = SEED) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features", labelCol=LABEL, predictionCol=OUTPUT, maxIter=iterations, stepSize=0.1,
-        maxDepth=depth, maxBins=bins, seed=seed,
-    )
+def boosted_trees(train: DataFrame, iterations: int = 100) -> forest.Forest:
+    """Fitted boosted trees of 31 leaves each, grown best leaf first over 255 bins."""
+    prepared = Pipeline(stages=preprocessing(train, scale=False)).fit(train)
+    return boosting.fit(train, prepared, LABEL, OUTPUT, rounds=iterations)
 
 
 def fit(train: DataFrame, estimator, scale: bool) -> PipelineModel:
     return Pipeline(stages=[*preprocessing(train, scale), estimator]).fit(train)
 
 
-def known_uses(model: PipelineModel) -> list[str]:
+Model = PipelineModel | forest.Forest
+
+
+def save(model: Model, path: str) -> None:
+    if isinstance(model, forest.Forest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A model as :func:`save` wrote it; a forest has a table of nodes."""
+    if tables.read_or_none(spark, f"{path}/nodes") is not None:
+        return forest.Forest.load(spark, path, OUTPUT)
+    return PipelineModel.load(path)
+
+
+def known_uses(model: Model) -> list[str]:
     """Uses the fitted encoder has seen."""
     return next(list(stage.labels) for stage in model.stages if hasattr(stage, "labels"))
 
@@ -102,20 +120,30 @@ def fold_bounds(train: DataFrame, folds: int = 5) -> list[dict]:
     ]
 
 
+def ridge_products(train: DataFrame, folds: int = 5) -> tuple[ridge_fit.Products, list[dict]]:
+    """Summed products per block of origins, and the windows that the blocks make."""
+    bounds = fold_bounds(train, folds)
+    block = F.lit(len(bounds))
+    for b in reversed(bounds):
+        block = F.when(F.col("origin_ts") <= F.lit(b["train_last"]), b["fold"]).otherwise(block)
+    return ridge_fit.products(train, block, _PLAIN, IMPUTED, "primary_use", LABEL, len(bounds) + 1), bounds
+
+
 def search_alpha(train: DataFrame, alphas=ALPHAS, folds: int = 5) -> tuple[float, list[dict]]:
     """Ridge penalty with the lowest mean validation RMSE over expanding windows."""
-    results: list[dict] = []
-    for bounds in fold_bounds(train, folds):
-        past = train.where(F.col("origin_ts") <= F.lit(bounds["train_last"]))
-        future = train.where(F.col("origin_ts").between(F.lit(bounds["valid_first"]), F.lit(bounds["valid_last"])))
-        prepare = Pipeline(stages=preprocessing(past, scale=True)).fit(past)
-        seen = prepare.transform(past).select("features", LABEL).persist()
-        unseen = prepare.transform(future).select("features", LABEL).persist()
-        for alpha in alphas:
-            scored = ridge(seen, alpha).fit(seen).transform(unseen)
-            rmse = scored.agg(F.sqrt(F.avg(F.pow(F.col(LABEL) - F.col(OUTPUT), 2)))).first()[0]
-            results.append({"alpha": alpha, **bounds, "rmse": rmse})
-        seen.unpersist()
-        unseen.unpersist()
+    return _searched(*ridge_products(train, folds), alphas)
+
+
+def _searched(products: ridge_fit.Products, bounds: list[dict], alphas) -> tuple[float, list[dict]]:
+    found = ridge_fit.search(products, alphas, len(bounds))
+    results = [{"alpha": alpha, **bounds[k], "rmse": rmse} for k, alpha, rmse in found]
     mean = {a: sum(x["rmse"] for x in results if x["alpha"] == a) for a in alphas}
     return min(alphas, key=lambda a: (mean[a], a)), results
+
+
+def fit_ridge(train: DataFrame, alphas=ALPHAS, folds: int = 5) -> tuple[PipelineModel, float, list[dict]]:
+    """The model with the searched penalty over all training rows: search and fit share one scan."""
+    products, bounds = ridge_products(train, folds)
+    alpha, results = _searched(products, bounds, alphas)
+    fitted = ridge_fit.solve(products, len(bounds), alpha)
+    return ridge_fit.model(products, fitted, "primary_use", OUTPUT), alpha, results

@@ -21,39 +21,47 @@ def bracket(value: Column) -> Column:
 
 
 def exact_percentiles(rows: DataFrame, value: str, percents: list[float]) -> list[float]:
-    """Exact percentiles (linear interpolation) of one column over the whole table.
+    """Exact percentiles (linear interpolation) of one column over the whole table; an empty one has none."""
+    found = exact_percentiles_of(rows, [(F.col(value), p) for p in percents])
+    return [x for x in found if x is not None]
 
-    Each percentile has a bracket of values, at first all of them. Passes over the table narrow it with a
-    sketch of what lies inside and count what lies below, until few values are left; only those are put in
+
+def exact_percentiles_of(rows: DataFrame, wanted: list[tuple[Column, float]]) -> list[float | None]:
+    """Exact percentiles of several columns at once; None for a column without values.
+
+    Each percentile has a bracket of values, at first all of them. Passes over the table narrow all brackets with
+    sketches of what lies inside and count what lies below, until few values are left; only those are put in
     order. The passes change the cost alone: any bracket that holds the two ranks gives the same values.
     """
-    x = F.col("_x")
-    present = rows.select(F.col(value).cast("double").alias("_x")).where("_x IS NOT NULL")
-    total, least, most = present.agg(F.count("*"), F.min("_x"), F.max("_x")).first()
-    if not total:
-        return []
-    spots = [p / 100 * (total - 1) for p in percents]
-    brackets = [(least, most, 0, total)] * len(spots)  # low, high, values below, values inside
-    open_ones = list(range(len(spots)))
+    names = [f"_x{i}" for i in range(len(wanted))]
+    present = rows.select(*[c.cast("double").alias(n) for n, (c, _) in zip(names, wanted)])
+    ends = present.agg(*[f(n) for n in names for f in (F.count, F.min, F.max)]).first() if wanted else []
+    totals = [ends[3 * i] for i in range(len(wanted))]
+    spots = [p / 100 * (n - 1) for n, (_, p) in zip(totals, wanted)]
+    brackets = [(ends[3 * i + 1], ends[3 * i + 2], 0, n) for i, n in enumerate(totals)]  # low, high, values below, values inside
+    open_ones = [i for i, n in enumerate(totals) if n]
     while open_ones := [i for i in open_ones if brackets[i][3] > _ORDERED and brackets[i][0] < brackets[i][1]]:
         sketches = []
         for i in open_ones:
             low, high, below, inside = brackets[i]
-            at = (spots[i] - below) / inside
-            ends = F.array(*[F.lit(min(1.0, max(0.0, at + side * _MARGIN))) for side in (-1, 1)])
-            sketches.append(F.percentile_approx(F.when(x.between(low, high), x), ends, F.lit(_ACCURACY)))
+            at, x = (spots[i] - below) / inside, F.col(names[i])
+            shares = F.array(*[F.lit(min(1.0, max(0.0, at + side * _MARGIN))) for side in (-1, 1)])
+            sketches.append(F.percentile_approx(F.when(x.between(low, high), x), shares, F.lit(_ACCURACY)))
         found = present.agg(*sketches).first()
-        counts = present.agg(*[c for lo, hi in found for c in (F.count_if(x < lo), F.count_if(x.between(lo, hi)))]).first()
+        counts = present.agg(*[c for i, (lo, hi) in zip(open_ones, found) for c in (F.count_if(F.col(names[i]) < lo), F.count_if(F.col(names[i]).between(lo, hi)))]).first()
         narrowed = []
         for n, i in enumerate(open_ones):
             below, inside = counts[2 * n], counts[2 * n + 1]
-            held = below <= int(spots[i]) and min(int(spots[i]) + 1, total - 1) < below + inside
+            held = below <= int(spots[i]) and min(int(spots[i]) + 1, totals[i] - 1) < below + inside
             if held and inside < brackets[i][3]:
                 brackets[i] = (*found[n], below, inside)
                 narrowed.append(i)
         open_ones = narrowed
-    hits = F.array_compact(F.array(*[F.when(x.between(b[0], b[1]), F.lit(i)) for i, b in enumerate(brackets)]))
-    counted = present.select("_x", F.explode(hits).alias("_i")).groupBy("_i", "_x").agg(F.count("*").alias("_c"))
+    some = [i for i, n in enumerate(totals) if n]
+    if not some:
+        return [None] * len(wanted)
+    hits = [F.when(F.col(names[i]).between(*brackets[i][:2]), F.struct(F.lit(i).alias("i"), F.col(names[i]).alias("x"))) for i in some]
+    counted = present.select(F.explode(F.array_compact(F.array(*hits))).alias("_h")).groupBy(F.col("_h.i").alias("_i"), F.col("_h.x").alias("_x")).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy("_i").orderBy("_x"))
     ranked = counted.withColumn("_upto", upto + F.get(F.array(*[F.lit(b[2]) for b in brackets]), F.col("_i")))
 
@@ -62,10 +70,15 @@ def exact_percentiles(rows: DataFrame, value: str, percents: list[float]) -> lis
         return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_x")))
 
     result = ranked.groupBy("_i").agg(
-        at_rank([int(s) for s in spots]).alias("lo"), at_rank([min(int(s) + 1, total - 1) for s in spots]).alias("hi")
+        at_rank([max(0, int(s)) for s in spots]).alias("lo"), at_rank([max(0, min(int(s) + 1, n - 1)) for s, n in zip(spots, totals)]).alias("hi")
     ).collect()
     by_index = {f["_i"]: (f["lo"], f["hi"]) for f in result}
-    return [by_index[i][0] + (by_index[i][1] - by_index[i][0]) * (s - int(s)) for i, s in enumerate(spots)]
+    return [by_index[i][0] + (by_index[i][1] - by_index[i][0]) * (s - int(s)) if i in by_index else None for i, s in enumerate(spots)]
+
+
+def exact_medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of several columns in the same passes."""
+    return dict(zip(columns, exact_percentiles_of(rows, [(F.col(c), 50) for c in columns])))
 
 
 def array_median(values: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from joulegrid.forecasting import company, features as feat, jobs, metrics, models
+from joulegrid.functions import medians
 from joulegrid.operators import aggregates as ag, lookups
 from joulegrid.sources import files
 from joulegrid.plans import report
@@ -98,6 +99,62 @@ def test_ridge_solves_the_penalised_sum_of_squares(spark):
         assert np.allclose(fitted.coefficients.toArray(), expected, rtol=1e-4)
 
 
+def test_ridge_from_products_equals_direct_fits(spark):
+    """All folds and penalties against numpy fits of the same prepared rows, with missing values and unseen uses."""
+    rng = np.random.default_rng(5)
+    n, names = 600, models._PLAIN
+    x = rng.normal(size=(n, len(names))) * rng.uniform(0.1, 9, len(names)) + rng.uniform(-50, 50, len(names))
+    x[:, 3] = 7.0  # a constant column
+    floors = [None if rng.random() < 0.3 else float(v) for v in rng.integers(1, 9, n)]
+    people = [None if rng.random() < 0.5 else float(v) for v in rng.normal(100, 30, n)]
+    uses = [None if rng.random() < 0.1 else ("Office", "Lodging", "School", "Late")[3 if i > 500 else rng.integers(3)] for i in range(n)]
+    y = x @ rng.normal(size=len(names)) + np.array([f or 4.0 for f in floors]) * 2 + np.array([5.0 * (u == "Office") for u in uses]) + rng.normal(size=n)
+    first = datetime(2016, 1, 1)
+    data = [(first + timedelta(days=i // 25), *map(float, x[i]), floors[i], people[i], uses[i], float(y[i])) for i in range(n)]
+    schema = "origin_ts timestamp, " + ", ".join(f"{c} double" for c in [*names, *feat.IMPUTED]) + f", primary_use string, {models.LABEL} double"
+    rows = spark.createDataFrame(data, schema).repartition(5).cache()
+    best, results = models.search_alpha(rows, (0.1, 10.0, 1000.0), 3)
+    assert len(results) == 9
+    days = np.array([d[0] for d in data])
+
+    def direct(train, valid, alpha):
+        fill = [np.median([c[i] for i in np.flatnonzero(train) if c[i] is not None]) for c in (floors, people)]
+        known = sorted({uses[i] for i in np.flatnonzero(train) if uses[i]})
+        mode = min(known, key=lambda u: (-sum(uses[i] == u for i in np.flatnonzero(train)), u))
+        numbers = np.column_stack([x, [fill[0] if v is None else v for v in floors], [fill[1] if v is None else v for v in people]])
+        mean, spread = numbers[train].mean(axis=0), numbers[train].std(axis=0, ddof=1)
+        scaled = np.where(spread > 1e-9, (numbers - mean) / np.where(spread > 1e-9, spread, 1), 0)
+        full = np.column_stack([scaled, *[[float((u or mode) == k) for u in uses] for k in known]])
+        a, b = full[train] - full[train].mean(axis=0), y[train] - y[train].mean()
+        beta = np.linalg.solve(a.T @ a + alpha * np.eye(full.shape[1]), a.T @ b)
+        guess = (full - full[train].mean(axis=0)) @ beta + y[train].mean()
+        return float(np.sqrt(((y - guess)[valid] ** 2).mean())), guess
+
+    for r in results:
+        train, valid = days <= r["train_last"], (days >= r["valid_first"]) & (days <= r["valid_last"])
+        assert r["rmse"] == pytest.approx(direct(train, valid, r["alpha"])[0], rel=1e-6)
+    mean = {a: np.mean([r["rmse"] for r in results if r["alpha"] == a]) for a in (0.1, 10.0, 1000.0)}
+    model, alpha, _ = models.fit_ridge(rows, (0.1, 10.0, 1000.0), 3)
+    assert alpha == best == min(mean, key=mean.get) and set(models.known_uses(model)) == {"Office", "Lodging", "School", "Late"}
+    every = np.ones(n, dtype=bool)
+    got = model.transform(rows.withColumn("at", F.monotonically_increasing_id()))
+    pairs = {(r["origin_ts"], r[names[0]]): r[models.OUTPUT] for r in got.collect()}
+    want = direct(every, every, alpha)[1]
+    assert np.allclose([pairs[d[0], d[1]] for d in data], want, rtol=1e-6)
+
+
+def test_medians_of_several_columns_are_exact(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 50, 3001), rng.normal(size=3001)
+    rows = spark.createDataFrame([(float(p), None if q > 1 else float(q), None) for p, q in zip(a, b)], "a double, b double, c double").repartition(6)
+    medians._ORDERED, kept = 40, medians._ORDERED
+    try:
+        found = medians.exact_medians(rows, ["a", "b", "c"])
+    finally:
+        medians._ORDERED = kept
+    assert found == {"a": float(np.median(a)), "b": float(np.median(b[b <= 1])), "c": None}
+
+
 def test_folds_expand_in_time(spark):
     rows = spark.sql("SELECT timestamp'2016-01-01' + make_dt_interval(id) AS origin_ts, h FROM range(12) LATERAL VIEW explode(sequence(1, 24)) AS h")
     bounds = models.fold_bounds(rows, 5)
