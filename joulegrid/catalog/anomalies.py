@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from joulegrid import schema
 from joulegrid.anomalies import behavioural, evaluation, forest, inject, residual, rules
 from joulegrid.catalog.forecasts import _X
-from joulegrid.catalog.registry import query, r
+from joulegrid.catalog.registry import ORACLES, query, r
 from joulegrid.catalog.standins import PERIODS, Tables, define, with_tables
 from joulegrid.operators import aggregates as ag, joins, lookups, series as ser
-from joulegrid.session import written
+from joulegrid.session import checkpoint_dir, written
 from joulegrid.sources import tables
 
 _W = "(PARTITION BY sensor_id ORDER BY ts)"
@@ -459,3 +462,51 @@ def _(t):
     current = t.alerts().select(*key, "score", "resolved")
     incoming = current.select("sensor_id", moved.alias("ts"), "method", "detector_version", (F.col("score") + 1).alias("score"))
     return tables.merged(current, incoming, key, defaults={"resolved": False})
+
+
+# --- the same upserts through a store ----------------------------------------------------
+
+def _stored(t: Tables, current, incoming, ddl: str, keys: list[str], month_of: str, **how):
+    """``current``, then ``incoming`` twice, into a new table of month partitions; what stands there afterwards."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    tables.upsert(t.spark, path, current, ddl, keys, month_of=month_of)
+    for _ in range(2):
+        tables.upsert(t.spark, path, incoming, ddl, keys, month_of=month_of, **how)
+    return t.spark.read.parquet(path).drop(tables.MONTH)
+
+
+@query("upserted_energy", ORACLES["merged_energy"])
+def _(t):
+    incoming = t.truth().select("sensor_id", "ts", F.col("injected_value").alias("consumption_kwh"))
+    return _stored(t, t.energy(), incoming, schema.ENERGY, schema.ENERGY_KEY, "ts")
+
+
+@query("upserted_weather", ORACLES["merged_weather"])
+def _(t):
+    moved = F.when(F.dayofmonth("ts") > 20, F.col("ts") + F.expr("interval 60 days")).otherwise(F.col("ts"))
+    incoming = t.weather().select(
+        "site_id", moved.alias("ts"), *[(F.col(m) + 1).alias(m) for m in _WEATHER], (F.hour("ts") % 9).cast("decimal(4,2)").alias("cloud_coverage")
+    )
+    return _stored(t, t.weather(), incoming, schema.WEATHER, schema.WEATHER_KEY, "ts").select("site_id", "ts", *_WEATHER, "cloud_coverage")
+
+
+@query("upserted_predictions", ORACLES["merged_predictions"])
+def _(t):
+    again = t.predictions().join(t.truth().select("sensor_id", F.col("ts").alias("target_ts"), "injected_value"), ["sensor_id", "target_ts"]).withColumns(
+        {"generated_at": F.col("generated_at") - F.expr("interval 1 hour"), "predicted_kwh": F.col("injected_value")}
+    ).drop("injected_value")
+    how = {"update": ["generated_at", "predicted_kwh", "horizon"]}
+    return _stored(t, t.predictions(), again, schema.PREDICTIONS, schema.PREDICTION_KEY, "target_ts", **how)
+
+
+_NEW_SCORE = "coalesce(i.score, c.score)"
+
+
+@query("upserted_alerts", ORACLES["merged_alerts"].replace(_NEW_SCORE, f"CAST({_NEW_SCORE} AS DECIMAL(10,4))"))
+def _(t):
+    """A triage flag outlives the detectors' next run; new alerts are open."""
+    moved = F.when(F.dayofmonth("ts") >= 10, F.col("ts") + F.expr("interval 60 days")).otherwise(F.col("ts"))
+    current = t.alerts()
+    incoming = current.drop("resolved").withColumns({"ts": moved, "score": F.col("score") + 1})
+    found = _stored(t, current, incoming, schema.ALERTS, schema.ALERT_KEY, "ts", defaults={"resolved": False})
+    return found.select(*schema.ALERT_KEY, "score", "resolved")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from joulegrid.catalog.core import MEASURES
 from joulegrid.catalog.registry import query, r
 from joulegrid.catalog.standins import EXPECTED_SQL, WIDE_COLUMNS, Tables, define, with_tables
-from joulegrid.functions import text
+from joulegrid.functions import calendar as cal, text
 from joulegrid.functions.zones import with_utc
-from joulegrid.plans import inspection
+from joulegrid.plans import ingestion, inspection
 from joulegrid.plans.ingestion import missing_rates
+from joulegrid.session import checkpoint_dir, written
 from joulegrid.sources import cleaning
 
 # Orders give wall clocks of many years: order date plus 0-3 h and 0 or 30 min, so spring and
@@ -117,3 +120,77 @@ def _(t):
         .unionByName(one("missing_timestamps", gaps.agg(F.sum("missing_timestamps").alias("s")), "s"))
         .unionByName(one("null_rows", gaps.agg(F.sum("null_rows").alias("s")), "s"))
     )
+
+
+# --- the ingestion job --------------------------------------------------------------------
+# The readings with planted faults become the three raw files: a wide one of local hours, metadata and weather.
+# One zone is half an hour off the others' hours and stays out of the wide file.
+
+OFF_HOURS = "Asia/Kolkata"
+
+define(
+    "local_rows", ("defects", "resolved", "buildings"),
+    f"""SELECT b.building_code, s.timezone, (d.ts AT TIME ZONE 'UTC') AT TIME ZONE s.timezone AS local_ts, d.consumption_kwh AS kwh
+    FROM defects d JOIN resolved s ON s.sensor_id = d.sensor_id JOIN buildings b ON b.building_id = s.building_id WHERE s.timezone <> '{OFF_HOURS}'""",
+)
+define(
+    "ingested", ("local_rows", "buildings"),
+    """SELECT p.building_code, p.site_id, (h.local_ts AT TIME ZONE p.timezone) AT TIME ZONE 'UTC' AS ts, CASE WHEN l.kwh >= 0 THEN l.kwh END AS consumption_kwh, l.kwh < 0 AS rejected
+    FROM (SELECT DISTINCT local_ts FROM local_rows) h
+    CROSS JOIN (SELECT l.building_code, b.site_id, min(l.timezone) AS timezone FROM local_rows l JOIN buildings b ON b.building_code = l.building_code
+      WHERE b.building_id % 7 <> 3 GROUP BY 1, 2 HAVING 1 - count(kwh) / (SELECT count(DISTINCT local_ts) FROM local_rows) < 0.05) p
+    LEFT JOIN local_rows l ON l.building_code = p.building_code AND l.local_ts = h.local_ts""",
+)
+
+
+def _raw_files(t: Tables) -> dict[str, str]:
+    out = f"{checkpoint_dir(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    zones = t.sites().select("site_id", "site_code", "timezone")
+    places = t.buildings().join(zones, "site_id")
+    metadata = places.select(
+        F.col("building_code").alias("building_id"), F.col("site_code").alias("site_id"), "timezone", F.col("primary_use").alias("primaryspaceusage"),
+        F.col("area_sqm").alias("sqm"), F.col("number_of_floors").alias("numberoffloors"), "occupants",
+        F.when(F.col("building_id") % 7 == 3, "No").otherwise("Yes").alias("electricity"),
+    )
+    metadata.write.option("header", True).csv(f"{out}/metadata")
+    meters = t.sensors().join(places.where(F.col("timezone") != OFF_HOURS).select("building_id", "building_code", "timezone"), "building_id")
+    long = t.defects().join(meters, "sensor_id").select(
+        "building_code", F.date_format(cal.local(F.col("ts"), F.col("timezone")), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "consumption_kwh"
+    )
+    long = written(long)
+    codes = sorted(r[0] for r in long.select("building_code").distinct().collect())  # the header of the wide file
+    wide = long.groupBy("timestamp").pivot("building_code", codes).agg(F.first("consumption_kwh"))
+    wide.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.option("header", True).csv(f"{out}/readings")
+    weather = t.weather().join(zones, "site_id").select(
+        F.date_format(cal.local(F.col("ts"), F.col("timezone")), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("site_code").alias("site_id"),
+        F.col("air_temp_c").alias("airTemperature"), F.col("dew_temp_c").alias("dewTemperature"), F.col("wind_speed").alias("windSpeed"),
+    )
+    weather.write.option("header", True).csv(f"{out}/weather")
+    return {"files": out, "store": f"{out}/store"}
+
+
+def _ingested_twice(t: Tables) -> str:
+    at = _raw_files(t)
+    for _ in range(2):
+        ingestion.run(t.spark, f"{at['files']}/metadata", f"{at['files']}/readings", f"{at['files']}/weather", at["store"])
+    return at["store"]
+
+
+@query("ingested_energy", with_tables(f"SELECT building_code, ts, {r('consumption_kwh', 'consumption_kwh')} FROM ingested", "ingested"))
+def _(t):
+    """The store after the ingestion job ran twice over the same raw files."""
+    store = _ingested_twice(t)
+    read = t.spark.read.parquet
+    codes = read(f"{store}/sensors").join(read(f"{store}/buildings"), "building_id").select("sensor_id", "building_code")
+    return read(f"{store}/energy").join(codes, "sensor_id").select("building_code", "ts", "consumption_kwh")
+
+
+@query("ingestion_audit", with_tables(
+    """SELECT 'metadata' AS source_file, 2 AS runs, 'success' AS status, count(DISTINCT building_code) AS rows_read, CAST(0 AS BIGINT) AS negatives_rejected FROM ingested
+    UNION ALL SELECT 'readings', 2, 'success', count(*), count(*) FILTER (rejected) FROM ingested
+    UNION ALL SELECT 'weather', 2, 'success', count(*), 0 FROM weather WHERE site_id IN (SELECT site_id FROM ingested)""", "ingested", "weather"))
+def _(t):
+    """The audit rows of two equal runs: one per file and run, with the counters that the writing job gathered."""
+    runs = t.spark.read.parquet(f"{_ingested_twice(t)}/ingestion_runs")
+    rejected = F.coalesce(F.get_json_object("error_summary", "$.negatives_rejected").cast("long"), F.lit(0).cast("long"))
+    return runs.groupBy("source_file", "status", F.col("rows_read"), rejected.alias("negatives_rejected")).agg(F.count("*").cast("int").alias("runs"))

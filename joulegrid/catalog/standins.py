@@ -359,4 +359,5 @@ def with_tables(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS (\n{_CTES[n][1]}\n)" for n in order) + "\n" + body
+    kept = {"base"}  # most texts refer to it several times
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in kept else ''}(\n{_CTES[n][1]}\n)" for n in order) + "\n" + body

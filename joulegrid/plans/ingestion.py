@@ -119,11 +119,11 @@ def run(
             ["local_ts", "ordinal"], codes,
         ).withColumn("consumption_kwh", F.when(~F.isnan("consumption_kwh"), F.col("consumption_kwh")))
         zones = buildings.join(sites, "site_id").select("building_code", "timezone")
-        clean, counters = cleaning.clean_readings(long, zones)
+        clean, counters = cleaning.observed_readings(long, zones)
         meter_of = buildings.join(sensors, "building_id").select("building_code", "sensor_id")
         facts = clean.join(meter_of, "building_code").drop("building_code")
         counts = tables.upsert(spark, f"{out}/energy", facts, schema.ENERGY, schema.ENERGY_KEY, month_of="ts")
-        return {**counts, "stats": counters.first().asDict()}
+        return {**counts, "stats": counters()}
 
     def weather() -> dict:
         raw = files.read_weather(spark, weather_path)

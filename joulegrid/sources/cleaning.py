@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from joulegrid.functions.zones import with_utc
 
@@ -63,6 +65,28 @@ def clean_readings(long: DataFrame, zones: DataFrame, code: str = "building_code
     return clean, counters
 
 
+def observed_readings(long: DataFrame, zones: DataFrame, code: str = "building_code") -> tuple[DataFrame, Callable[[], dict]]:
+    """(clean UTC readings, their counters): the counters are gathered by the job that writes the readings.
+
+    The second part may be called once that job has ended.
+    """
+    before, after = Observation(), Observation()
+    placed = localised(long.join(zones, code)).observe(
+        before, F.count(F.lit(1)).alias("rows_in"), F.count_if("ts_ambiguous").alias("ambiguous_dropped"), F.count("ts").alias("usable")
+    )
+    usable = placed.where(F.col("ts").isNotNull()).select(code, "ts", "local_ts", "ordinal", "consumption_kwh")
+    checked = reject_negative(first_of_duplicates(usable, [code, "ts"], ["local_ts", "ordinal"])).observe(
+        after, F.count(F.lit(1)).alias("rows_out"), F.count_if("rejected").alias("negatives_rejected")
+    )
+
+    def counters() -> dict:
+        seen = before.get | after.get
+        seen["duplicates_dropped"] = seen.pop("usable") - seen["rows_out"]
+        return seen
+
+    return checked.select(code, "ts", F.col("consumption_kwh").cast("decimal(12,4)").alias("consumption_kwh")), counters
+
+
 def clean_weather(raw: DataFrame, zones: DataFrame) -> DataFrame:
     """Source weather -> UTC rows per site, measures renamed and typed, first of duplicates."""
     from joulegrid.schema import WEATHER_MEASURES

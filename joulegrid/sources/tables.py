@@ -3,6 +3,10 @@
 A fact table is partitioned by month, so an upsert rewrites only the months it touches.
 The merged months are written beside the table first and then replace those partitions:
 no job reads and overwrites the same files, and a repeated run gives the same table.
+
+The folder beside the table is the upsert's journal. A run that was killed left one: marked ready, its merge was
+whole and the replacement is done again from it; without the mark the table was not touched and the folder goes.
+One writer at a time per table.
 """
 
 from __future__ import annotations
@@ -19,7 +23,14 @@ MONTH = "month"
 ROWS_PER_FILE = 4_000_000
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    if not exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
@@ -77,12 +88,55 @@ def _aligned(incoming: DataFrame, schema: str, keys: list[str], defaults: dict)
     )
 
 
+READY = "ready"
+
+
+def _swap(spark: SparkSession, path: str, staging: str, shape, keys: list[str], monthly: bool) -> None:
+    """Replace the touched months, or the table, by the merged rows of the staging folder; doing it twice is harmless."""
+    final = spark.read.schema(shape).parquet(f"{staging}/out")
+    if monthly:
+        # a month is cut into as many files as its rows need, each sorted by the key
+        largest = final.groupBy(MONTH).count().agg(F.max("count")).first()[0] or 0
+        slices = max(1, -(-largest // ROWS_PER_FILE))
+        final = final.repartition(MONTH, F.pmod(F.xxhash64(*keys[:2]), F.lit(slices))).sortWithinPartitions(MONTH, *keys)
+        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    else:
+        final.write.mode("overwrite").parquet(path)
+
+
+def _shape(schema: str, monthly: bool):
+    return struct(f"{schema}, {MONTH} string") if monthly else struct(schema)
+
+
+def recover(spark: SparkSession, path: str, schema: str, keys: list[str], monthly: bool) -> dict[str, int]:
+    """Finish or undo upserts that ended half-way; returns how many of each."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_staging")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = {"finished": 0, "undone": 0}
+    for entry in store.listStatus(folder) if store.exists(folder) else []:
+        left = entry.getPath().toString()
+        if exists(spark, f"{left}/{READY}"):
+            _swap(spark, path, left, _shape(schema, monthly), keys, monthly)
+            done["finished"] += 1
+        else:
+            done["undone"] += 1
+        delete(spark, left)
+    return done
+
+
+def _mark(spark: SparkSession, staging: str) -> None:
+    """From here on the merge is whole."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{staging}/{READY}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark).close()
+
+
 def upsert(
     spark: SparkSession, path: str, incoming: DataFrame, schema: str, keys: list[str],
     month_of: str | None = None, update: list[str] | None = None, defaults: dict | None = None,
 ) -> dict[str, int]:
     """Upsert ``incoming`` into the table at ``path``; returns rows read and written."""
     defaults = defaults or {}
+    recover(spark, path, schema, keys, month_of is not None)
     rows = _aligned(incoming, schema, keys, defaults)
     staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
     by_month = F.date_format(month_of, "yyyy-MM") if month_of else None
@@ -110,15 +164,8 @@ def upsert(
         current = current.where(F.col(MONTH).isin(touched) if touched else F.lit(False)).withColumn(MONTH, F.col(MONTH).cast("string"))
     result = merged(current, rows, [*keys, *layout], update, defaults)
     result.write.partitionBy(*layout).parquet(f"{staging}/out")
-    final = spark.read.schema(result.schema).parquet(f"{staging}/out")
-    if month_of:
-        # a month is cut into as many files as its rows need, each sorted by the key
-        largest = final.groupBy(MONTH).count().agg(F.max("count")).first()[0] or 0
-        slices = max(1, -(-largest // ROWS_PER_FILE))
-        final = final.repartition(MONTH, F.pmod(F.xxhash64(*keys[:2]), F.lit(slices))).sortWithinPartitions(MONTH, *keys)
-        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
-    else:
-        final.write.mode("overwrite").parquet(path)
+    _mark(spark, staging)
+    _swap(spark, path, staging, _shape(schema, month_of is not None), keys, month_of is not None)
     delete(spark, staging)
     return {"read": read, "written": read}
 

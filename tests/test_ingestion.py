@@ -59,6 +59,16 @@ def test_ambiguous_is_dropped_and_counted(spark):
     assert found.count() == 1 and counters.ambiguous_dropped == 1 and counters.rows_in == 2
 
 
+def test_counters_come_from_the_job_that_writes(spark, tmp_path):
+    rows = [("b1", "2016-11-06 01:30:00", 0, 1.0), ("b1", "2016-11-06 05:00:00", 1, -1.0), ("b1", "2016-11-06 05:00:00", 2, 1.0), ("b2", "2016-11-06 05:00:00", 3, 4.0)]
+    zones = spark.createDataFrame([("b1", "US/Eastern"), ("b2", "US/Eastern")], "building_code string, timezone string")
+    found, counters = cleaning.observed_readings(long(spark, rows), zones)
+    found.write.parquet(str(tmp_path / "out"))
+    want = cleaning.clean_readings(long(spark, rows), zones)[1].first().asDict()
+    assert counters() == want == {"rows_in": 4, "ambiguous_dropped": 1, "duplicates_dropped": 1, "negatives_rejected": 1, "rows_out": 2}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_unpivot_keeps_null_rows(spark):
     wide = spark.createDataFrame([(datetime(2016, 1, 1), 10.0, 5.0, 1.0), (datetime(2016, 1, 1, 1), 12.0, None, 1.0)], "local_ts timestamp_ntz, b1 double, b2 double, other double")
     rows = ser.unpivot_readings(wide, ["local_ts"], ["b1", "b2"])
@@ -116,6 +126,37 @@ def test_upsert_twice_is_the_same(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+@pytest.mark.parametrize("step, kept", [("_mark", "undone"), ("_swap", "finished"), ("delete", "finished")])
+def test_a_killed_upsert_is_finished_or_undone(spark, tmp_path, monkeypatch, step, kept):
+    """The run dies before the mark, before the replacement or before the journal goes."""
+    path = str(tmp_path / "energy")
+    put(spark, path, [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-02-01 00:00:00", 2.0)])
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, step, killed)
+        with pytest.raises(KeyboardInterrupt):
+            put(spark, path, [(1, "2016-02-01 00:00:00", 9.0), (2, "2016-03-01 00:00:00", 3.0)])
+    done = tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, True)
+    assert done[kept] == 1 and sum(done.values()) == 1
+    february = 2.0 if kept == "undone" else 9.0
+    want = [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-02-01 00:00:00", february)] + ([] if kept == "undone" else [(2, "2016-03-01 00:00:00", 3.0)])
+    assert sorted((r.sensor_id, str(r.ts), float(r.consumption_kwh)) for r in spark.read.parquet(path).collect()) == want
+    assert tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, True) == {"finished": 0, "undone": 0}
+
+
+def test_the_next_upsert_recovers_first(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "energy")
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "_swap", lambda *args: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            put(spark, path, [(1, "2016-01-01 00:00:00", 1.0), (2, "2016-01-01 00:00:00", 1.0)])
+    put(spark, path, [(1, "2016-01-01 00:00:00", 5.0)])
+    assert sorted((r.sensor_id, float(r.consumption_kwh)) for r in spark.read.parquet(path).collect()) == [(1, 5.0), (2, 1.0)]
+
+
 def test_upsert_rejects_a_repeated_key(spark, tmp_path):
     with pytest.raises(ValueError, match="duplicate key"):
         put(spark, str(tmp_path / "energy"), [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-01-01 00:00:00", 2.0)])
