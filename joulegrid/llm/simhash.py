@@ -9,26 +9,17 @@ Copies share a fingerprint and are collapsed before variants are made.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from joulegrid.llm.common import arrow_rows, few_ids, stored, texts
 from joulegrid.llm.components import components
-
-SEED = 42
-SHINGLE = 5
-SIMILARITY = 0.8
-# a shingle is hot from so many texts on, or from more if over HOT_BOUND shingles would be
-HOT_TEXTS, HOT_BOUND = 16, 2_000_000
-# parts of the range of shingles that are counted apart, a power of two
-PARTS = 1024
-_FLUSH = 2_000_000
+from joulegrid.llm.nearsets import SHINGLE, set_key, shingle_set, similar_groups
+from joulegrid.llm.shingles import shingle_hashes
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -40,24 +31,6 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def shingle_hashes(text: str, size: int) -> np.ndarray:
-    """XXH64 (seed 42) of every ``size``-word shingle, A-Z lowered, words joined by one space, repeats kept.
-
-    Fewer words than ``size`` give the whole sequence; no words give an empty array.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(joined, SEED)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1)[: len(words) - size + 1]
-    return np.fromiter(
-        (digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist())), dtype=np.uint64, count=len(starts)
-    )
-
-
 def fingerprint(text: str, size: int) -> int:
     """SimHash over word shingles; a text without words has fingerprint zero."""
     hashes = shingle_hashes(text, size)
@@ -115,175 +88,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The distinct five-word shingles as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(text, SHINGLE))
-
-
-def _set_key(shingles: np.ndarray) -> int:
-    """A number that names a set of shingles: 64 bits of its digest."""
-    return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "little", signed=True)
-
-
-def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles in the order that all texts share: hot ones last, then by hash.
-
-    Of two sets with a similarity of 0.8 or more, each holds at least 0.8 of the other, so they share a
-    shingle within these. Any order that is the same for all texts will do; this one keeps buckets small.
-    """
-    if len(hot):
-        low = shingles.astype(np.uint32)
-        is_hot = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
-        shingles = np.concatenate([shingles[~is_hot], shingles[is_hot]])
-    return shingles[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1]
-
-
-def hot_shingles(source: DataFrame, total: int) -> np.ndarray:
-    """Sorted low 32 bits of the shingles that stand in many texts, at most ``HOT_BOUND``.
-
-    Shingles travel as blobs, one for each part of their range, four bytes each, and are counted per part.
-    Two shingles that share 32 bits count as one, which only moves them in the order.
-    """
-    least = max(HOT_TEXTS, total // HOT_BOUND + 1)
-    shift = np.uint32(32 - PARTS.bit_length() + 1)
-
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        def flushed() -> dict:
-            values = np.sort(np.concatenate(held))
-            parts, starts = np.unique(values >> shift, return_index=True)
-            return {"part": parts.astype(np.int32), "blob": [v.tobytes() for v in np.split(values, starts[1:])]}
-
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for text in texts(batch):
-                held.append(shingle_set(text).astype(np.uint32))
-                size += len(held[-1])
-                if size > _FLUSH:
-                    yield flushed()
-                    held, size = [], 0
-        if size:
-            yield flushed()
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        parts: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                parts.setdefault(part, []).append(np.frombuffer(blob, dtype=np.uint32))
-        for part in list(parts):
-            values, counts = np.unique(np.concatenate(parts.pop(part)), return_counts=True)
-            yield {"shingle": values[counts >= least].astype(np.int64)}
-
-    dealt = arrow_rows(source.select("text"), "part int, blob binary", blobs).repartition("part")
-    found = arrow_rows(dealt, "shingle long", counted).toArrow()
-    if found.num_rows > HOT_BOUND:
-        raise AssertionError("more hot shingles than their bound")
-    return np.sort(found.column(0).to_numpy().astype(np.uint32))
-
-
-def _buckets(source: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(shingle, node, n, rest, first, last): the prefix shingles of at least two nodes.
-
-    ``rest`` counts the shingles of the node from this one on, ``first`` and ``last`` are the smallest and
-    the largest of (node, n, rest) of the bucket.
-    """
-    known = source.sparkSession.sparkContext.broadcast(hot)
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in texts(batch)]
-            yield {"doc_id": batch.column("doc_id"), "node": [_set_key(s) for s in sets], "n": [len(s) for s in sets], "shingles": [prefix(s, known.value).view(np.int64) for s in sets]}
-
-    rows = arrow_rows(source, "doc_id long, node long, n int, shingles array<long>", body)
-    # of exact copies only the row with the smallest id goes on
-    rows = rows.join(few_ids(stored(nodes.select("doc_id").distinct())), "doc_id", "left_semi")
-    spread = rows.select("node", "n", F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
-    whole = Window.partitionBy("shingle")
-    one = F.struct("node", "n", "rest")
-    spread = spread.select("*", F.min(one).over(whole).alias("first"), F.max(one).over(whole).alias("last"))
-    return stored(spread.where("first.node <> last.node"))
-
-
-def _may_be_similar(n_a: Column, rest_a: Column, n_b: Column, rest_b: Column) -> Column:
-    """Whether two texts whose first common shingle this is can reach the similarity."""
-    return F.least(rest_a, rest_b) >= SIMILARITY / (1 + SIMILARITY) * (n_a + n_b) - 1e-6
-
-
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, root): texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-    ``node`` names a distinct set of shingles, ``root`` its group. Candidates come from an exact prefix
-    filter: similar sets share one of their first shingles in a common order, so no similar pair is left
-    out. Every bucket's members first meet its smallest and largest node, which connects large groups by few
-    pairs; all other pairs of a bucket whose sizes and places allow the similarity are verified if their
-    nodes are not connected by then.
-    """
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in texts(batch)]
-            yield {"doc_id": batch.column("doc_id"), "node": [_set_key(s) for s in sets], "n": [len(s) for s in sets]}
-
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(arrow_rows(source, "doc_id long, node long, n int", body))
-    nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = _buckets(source, nodes, hot_shingles(source, total))
-    ends = [members.select(F.col("node").alias("a"), F.col(f"{e}.node").alias("b"), _may_be_similar(F.col("n"), F.col("rest"), F.col(f"{e}.n"), F.col(f"{e}.rest")).alias("may")) for e in ("first", "last")]
-    near = ends[0].unionByName(ends[1]).where("may AND a <> b")
-    tried = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    verified = _verified(source, nodes, tried)
-    linked = stored(components(verified))
-    left = _left(members, linked, tried)
-    if not left.isEmpty():
-        verified = verified.unionByName(_verified(source, nodes, left))
-        linked = stored(components(stored(verified)))
-    return rows.select("doc_id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _left(members: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
-    """The pairs of a bucket that its ends did not connect and that were not verified yet."""
-    placed = members.select("shingle", "node", "n", "rest").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = Window.partitionBy("shingle")
-    placed = placed.withColumns({"_least": F.min("root").over(whole), "_most": F.max("root").over(whole)}).where("_least <> _most")
-    placed = stored(placed.select("shingle", "node", "n", "rest", "root"))
-    other = placed.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "rest", "root")])
-    met = placed.join(other, "shingle").where((F.col("node") > F.col("node_b")) & (F.col("root") != F.col("root_b")))
-    met = met.where(_may_be_similar(F.col("n"), F.col("rest"), F.col("n_b"), F.col("rest_b")))
-    pairs = met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    return stored(pairs.join(tried, ["a", "b"], "left_anti"))
-
-
-def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stored(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct())
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in texts(batch)]
-            yield {"node": [_set_key(s) for s in sets], "shingles": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]}
-
-    chosen = source.join(few_ids(ids), "doc_id", "left_semi").select("text")
-    sets = stored(arrow_rows(chosen, "node long, shingles array<int>", body))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            kept = []
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                union = len(p) + len(q) - shared
-                kept.append(union == 0 or shared >= SIMILARITY * union)
-            yield {"a": batch.column("a"), "b": batch.column("b"), "kept": kept}
-
-    # repeated rows of one text give a pair several times
-    return arrow_rows(both.select("a", "b", "x", "y"), "a long, b long, kept boolean", measured).where("kept").select("a", "b").distinct()
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with one row per group of near-duplicates: the one with the smallest doc_id.
 
@@ -303,7 +107,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def key(text: pd.Series) -> pd.Series:
-        return pd.Series([_set_key(shingle_set(t or "")) for t in text], dtype="int64")
+        return pd.Series([set_key(shingle_set(t or "")) for t in text], dtype="int64")
 
     shared = docs.join(few_ids(several), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     verdicts = judged.join(several, "doc_id", "left_semi").where("kept").select("doc_id", "node", "root").distinct()
