@@ -29,7 +29,9 @@ def rules_sql() -> str:
         f"max(CASE WHEN metric = '{m}' THEN " + (f"high + {rules.REACH} * (high - mid) + {slack}" if side > 0 else f"low - {rules.REACH} * (mid - low) - {slack}") + f" END) AS f_{m}"
         for m, (side, slack) in rules.METRICS.items()
     )
-    picked = ", ".join(f"CASE WHEN c.n >= {rules.CELL_ROWS} THEN c.f_{m} WHEN l.n >= {rules.CELL_ROWS} THEN l.f_{m} ELSE w.f_{m} END AS f_{m}" for m in metrics)
+    prior = f"{rules.PRIOR!r}::DOUBLE"
+    upper = {m: f"((l.n * l.f_{m} + {prior} * w.f_{m}) / (l.n + {prior}))" for m in metrics}
+    picked = ", ".join(f"(c.n * c.f_{m} + {prior} * {upper[m]}) / (c.n + {prior}) AS f_{m}" for m in metrics)
     inside = " AND ".join(f"CAST({v} AS DOUBLE) {'<=' if rules.METRICS[m][0] > 0 else '>='} f_{m}" for m, v in metrics.items())
     level = "level, lang, source"
     return rf"""
@@ -49,7 +51,7 @@ sketches AS (
   UNION ALL SELECT 1, lang, NULL, metric, bucket, count(*) FROM bucketed GROUP BY ALL
   UNION ALL SELECT 0, NULL, NULL, metric, bucket, count(*) FROM bucketed GROUP BY ALL),
 summed AS (SELECT *, sum(n) OVER (PARTITION BY {level}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {level}, metric) AS total FROM sketches),
-quantiles AS (SELECT {level}, metric, max(total) AS n, {quantile(rules.MIDDLE)} AS mid, {quantile(rules.OUTER)} AS high, {quantile(1 - rules.OUTER)} AS low FROM summed GROUP BY {level}, metric),
+quantiles AS (SELECT {level}, metric, CAST(max(total) AS BIGINT) AS n, {quantile(rules.MIDDLE)} AS mid, {quantile(rules.OUTER)} AS high, {quantile(1 - rules.OUTER)} AS low FROM summed GROUP BY {level}, metric),
 fences AS (SELECT {level}, max(n) AS n, {fences} FROM quantiles GROUP BY {level}),
 cells AS (
   SELECT c.lang, c.source, {picked} FROM fences c

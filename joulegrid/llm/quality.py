@@ -124,32 +124,48 @@ def _strength(groups: DataFrame, mean: Column | float) -> float:
     return float(np.clip(within / max(row["v"] - noise, 1e-9) - 1, 1.0, 1e6))
 
 
+def _soft(llr: Column) -> Column:
+    """The chance of a good document by its evidence alone, in whole millionths: sums don't depend on the order of rows."""
+    return F.round(1e6 / (1 + F.exp(-llr))).cast("long")
+
+
 def sites(evidence: DataFrame) -> DataFrame:
-    """(host, path, rate): posterior rate of good documents for every path, from (host, path, _llr) of all documents.
+    """(host, path, rate, good, n, host_good, host_n, k_path, k_host, mean) from (host, path, _llr) of all documents.
 
-    Sums are combined in each task first, so a host with a third of all documents is no hot key. Two levels
-    of one row per site remain. NULL hosts and paths are sites of their own.
+    ``rate`` is the posterior rate of good documents on the path, ``good`` sums the documents' chances in
+    millionths, the ``k`` are the strengths of the priors. Sums are combined
+    in each task first, so a host with a third of all documents is no hot key. Two levels of one row per site
+    remain. NULL hosts and paths are sites of their own.
     """
-    # in whole millionths, so that the sum does not depend on the order of rows
-    soft = F.round(1e6 / (1 + F.exp(-F.col("_llr")))).cast("long")
-    paths = stored(evidence.groupBy("host", "path").agg((F.sum(soft) / 1e6).alias("good"), F.count("*").alias("n")))
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    paths = stored(evidence.groupBy("host", "path").agg(F.sum(_soft(F.col("_llr"))).alias("good"), F.count("*").alias("n")))
+    hosts = stored(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    mean = whole["good"] / whole["n"] if whole["n"] else 0.5
-    k = _strength(hosts, mean)
-    hosts = stored(hosts.select(F.col("host").alias("_host"), ((F.col("good") + k * mean) / (F.col("n") + k)).alias("host_rate")))
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    k = _strength(joined, F.col("host_rate"))
-    rate = (F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)
-    return stored(joined.select("host", "path", "host_rate", F.least(F.lit(0.999), F.greatest(F.lit(0.001), rate)).alias("rate")))
+    mean = whole["good"] / 1e6 / whole["n"] if whole["n"] else 0.5
+    share = (F.col("good") / 1e6).alias("good")
+    k_host = _strength(hosts.select(share, "n"), mean)
+    named = hosts.select(F.col("host").alias("_host"), F.col("good").alias("host_good"), F.col("n").alias("host_n"))
+    joined = paths.join(named, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    rate = (F.col("host_good") / 1e6 + k_host * mean) / (F.col("host_n") + k_host)
+    k_path = _strength(joined.select(share, "n", rate.alias("host_rate")), F.col("host_rate"))
+    shrunk = (F.col("good") / 1e6 + k_path * rate) / (F.col("n") + k_path)
+    return stored(joined.withColumns({"rate": shrunk, "k_path": F.lit(k_path), "k_host": F.lit(k_host), "mean": F.lit(mean)}))
 
 
 def posterior(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """``rows`` (host, path, _llr, ...) with ``host_rate``, ``path_rate`` and ``p_good``."""
-    named = places.withColumnsRenamed({"host": "_host", "path": "_path", "rate": "path_rate"})
+    """``rows`` (host, path, _llr, ...) with ``host_rate``, ``path_rate`` and ``p_good``.
+
+    The rates are those of the site's other documents, shrunk path to host to corpus: a document's evidence counts
+    once, and one that is alone on its site gets the rate of what stands above.
+    """
+    named = places.withColumnsRenamed({"host": "_host", "path": "_path"})
     same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
+    own = _soft(F.col("_llr"))
+    host_rate = ((F.col("host_good") - own) / 1e6 + F.col("k_host") * F.col("mean")) / (F.col("host_n") - 1 + F.col("k_host"))
+    path_rate = ((F.col("good") - own) / 1e6 + F.col("k_path") * F.col("host_rate")) / (F.col("n") - 1 + F.col("k_path"))
+    out = rows.join(named, same).withColumn("host_rate", host_rate)
+    out = out.withColumn("path_rate", F.least(F.lit(0.999), F.greatest(F.lit(0.001), path_rate)))
     odds = F.col("_llr") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    return rows.join(named, same).drop("_host", "_path").withColumn("p_good", 1 / (1 + F.exp(-odds)))
+    return out.drop(*[c for c in named.columns]).withColumn("p_good", 1 / (1 + F.exp(-odds)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", bound: int = SAMPLE_ROWS) -> DataFrame:
@@ -167,7 +183,11 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", bound: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents the classifier keeps, with their columns. Only site rates are joined, never texts by id."""
+    """The documents the classifier keeps, with their columns. Only site rates are joined, never texts by id.
+
+    Every row is judged alone: NULL and empty texts by the rate of their site, rows with a NULL doc_id and repeated
+    rows like all others; an empty table stays empty.
+    """
     model = fit(docs, labels, bound=bound)
     keys = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")]
     places = sites(with_evidence(docs.select(*keys, F.col("text").cast("string")), model, ["host", "path"]))

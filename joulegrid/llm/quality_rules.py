@@ -3,7 +3,7 @@
 Every metric is counted into logarithmic buckets of one per cent relative width per language and source.
 Such histograms are mergeable quantile sketches: buckets add up over tasks and up the hierarchy, their
 number is bounded by the range of the metric, and the result does not depend on the order of rows.
-A cell with too few documents borrows the sketch of its language, then of the whole corpus.
+The fences of a cell are shrunk towards those of its language, and these towards the corpus, by the cell's documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ METRICS = {
 }
 WIDTH = 0.01
 LEAST = 1e-4
-CELL_ROWS = 200
+# documents that the level above counts for
+PRIOR = 200.0
 MIDDLE, OUTER, REACH = 0.5, 0.9, 3.0
 FEWEST_WORDS = 50
 
@@ -126,18 +127,18 @@ def fences(counts: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, fence_<metric>...) for every cell, from the finest level with ``CELL_ROWS`` documents."""
-    found = fences(sketches(rows))
+    """(lang, source, fence_<metric>...) for every cell: n of its own documents against PRIOR of the level above."""
+    found = stored(fences(sketches(rows)))
     names = [f"fence_{m}" for m in METRICS]
+    whole = found.where(F.col("level") == 0).first()  # one row
 
-    def level(k: int) -> DataFrame:
-        return found.where(F.col("level") == k).select("lang", "source", F.struct("n", *names).alias(f"l{k}"))
+    def shrunk(own: str, name: str, above: Column) -> Column:
+        return (F.col(f"{own}n") * F.col(f"{own}{name}") + PRIOR * above) / (F.col(f"{own}n") + PRIOR)
 
-    langs = level(1).select(F.col("lang").alias("_lang"), "l1")
-    whole = level(0).select("l0")
-    joined = level(2).join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(whole))  # one row
-    pick = F.when(F.col("l2.n") >= CELL_ROWS, F.col("l2")).when(F.col("l1.n") >= CELL_ROWS, F.col("l1")).otherwise(F.col("l0"))
-    return joined.select("lang", "source", pick.alias("_f")).select("lang", "source", "_f.*").drop("n")
+    corpus = {name: F.lit(float(whole[name]) if whole else None).cast("double") for name in names}
+    langs = found.where(F.col("level") == 1).select(F.col("lang").alias("_lang"), *[shrunk("", name, corpus[name]).alias(f"_{name}") for name in names])
+    cells = found.where(F.col("level") == 2).join(langs, F.col("lang").eqNullSafe(F.col("_lang")))
+    return cells.select("lang", "source", *[shrunk("", name, F.col(f"_{name}")).alias(name) for name in names])
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from joulegrid.llm.common import arrow_rows, stored, texts
 _SPACE = "▁"
 _PRETOKEN = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|\n|{_SPACE}+")
 FREQUENT = 2_000_000
+# bytes of a pre-token that may be broadcast
+KNOWN_BYTES = 64
 LIMIT = 4096
 _FLUSH = 300_000
 
@@ -88,7 +90,9 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
     spark, model = docs.sparkSession, model or default_model()
     pieces = stored(distinct_pretokens(docs, model))
     total = pieces.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
-    often = pieces.where((F.col("uses") >= max(1.0, total / frequent))).select("pretoken", "pieces").toArrow()
+    # a true bound in bytes too: long pre-tokens, whole unspaced texts among them, are left to the join
+    known_ones = (F.col("uses") >= max(1.0, total / frequent)) & (F.octet_length("pretoken") <= KNOWN_BYTES)
+    often = pieces.where(known_ones).select("pretoken", "pieces").toArrow()
     if often.num_rows > frequent:
         raise AssertionError("more frequent pre-tokens than their bound")
     known = spark.sparkContext.broadcast(dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist())))
@@ -121,7 +125,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
 
     kind = "row long, doc_id long, n_bytes long, n_known long, pretoken string, uses int"
     lines = arrow_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), kind, summed)
-    joined = lines.join(pieces.where(F.col("uses") < max(1.0, total / frequent)).select("pretoken", "pieces"), "pretoken", "left")
+    joined = lines.join(pieces.where(~known_ones).select("pretoken", "pieces"), "pretoken", "left")
     parts = joined.select("row", "doc_id", "n_bytes", (F.col("n_known") + F.coalesce(F.col("uses") * F.col("pieces"), F.lit(0))).alias("n"))
     sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

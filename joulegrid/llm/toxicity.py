@@ -128,11 +128,13 @@ def graded(toxic: np.ndarray, density: np.ndarray, grades: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = GRADES, bound: int = SAMPLE_ROWS, grade: str | None = None) -> Model:
     """Fit on at most ``bound`` labelled documents.
 
-    ``grade`` names a column of ``labels`` with severities 0 .. grades-1; without one, ``label`` says toxic or
+    ``grade`` names a column of ``labels`` with severities 0 .. grades-1; rows whose grade is NULL or outside are not
+    used. Without one, ``label`` says toxic or
     not and the grade of toxic rows follows from how dense toxic features are in them.
     """
     columns = [F.col(label).cast("int").alias("toxic"), (F.col(grade).cast("int") if grade else F.lit(None).cast("int")).alias("grade")]
     known = labels.select(F.col("doc_id").cast("long"), *columns).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
+    known = known.where(F.col("grade").between(0, grades - 1)) if grade else known
     sample = stored(labelled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), known, bound))
     features = chosen_features(sample)
 
