@@ -311,15 +311,8 @@ def _pieced(rows: DataFrame, pieces: int) -> DataFrame:
     )
 
 
-def repaired_pieces(rows: DataFrame, copies: Column | None = None, piece_rows: int = PIECE_ROWS, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """(conv_id, piece, of, gaps, blank, duplicate, truncated, illegal, cost, audit, lines, repaired) of conversations.
-
-    ``rows`` hold conv_id, turn, role and text; ``copies`` says how often each stands there (0: it only names its
-    conversation). Rows are ordered by turn, NULL first, then role and text. Nearly all conversations are one piece; of
-    longer ones the counts, costs, audits and lines of their pieces add up in order. NULL roles and texts are one
-    space; an empty role fits no place. Rows with a NULL conv_id are one conversation. Repeated rows are duplicates,
-    other columns are ignored, an empty table gives no rows.
-    """
+def _parts(rows: DataFrame, copies: Column | None, piece_rows: int, piece_chars: int) -> tuple[DataFrame, DataFrame | None]:
+    """The conversations of one piece, and the pieces of longer ones where there are any."""
     how_often = (F.lit(1) if copies is None else copies).cast("int")
     texts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *texts, how_often.alias("copies"))
@@ -327,24 +320,40 @@ def repaired_pieces(rows: DataFrame, copies: Column | None = None, piece_rows: i
     long = stored(sizes.where((F.col("n") > piece_rows) | (F.col("chars") > piece_chars)))
     found = long.agg(F.sum("n"), F.sum("chars"), F.count("*")).first()
     if not found[2]:
-        return _whole(rows)
+        return _whole(rows), None
     same = F.col("r.conv_id").eqNullSafe(F.col("l.conv_id"))
     short = rows.alias("r").join(long.alias("l"), same, "left_anti")
     others = rows.alias("r").join(long.alias("l"), same, "left_semi")
     pieces = found[0] // piece_rows + found[1] // piece_chars + 1
-    return _whole(short).unionByName(_pieced(stored(others), int(pieces)))
+    return _whole(short), _pieced(stored(others), int(pieces))
+
+
+def repaired_pieces(rows: DataFrame, copies: Column | None = None, piece_rows: int = PIECE_ROWS, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(conv_id, piece, of, gaps, blank, duplicate, truncated, illegal, cost, audit, lines, repaired) of conversations.
+
+    ``rows`` hold conv_id, turn, role and text; ``copies`` says how often each stands there (0: it only names its
+    conversation). Rows are ordered by turn, NULL first, then role and text. Nearly all conversations are one piece; of
+    longer ones the counts, costs, audits and lines of their pieces add up in order. NULL roles and texts are one
+    space; an empty role fits no place. Rows with a NULL conv_id are one conversation. Repeated rows are duplicates,
+    other columns are ignored, an empty table gives no rows.
+    """
+    whole, pieced = _parts(rows, copies, piece_rows, piece_chars)
+    return whole if pieced is None else whole.unionByName(pieced)
 
 
 _COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 
-def report(pieces: DataFrame) -> DataFrame:
-    """(conv_id, counts, cost, audit, repaired_sha256): one row per conversation of :func:`repaired_pieces`.
+def report(rows: DataFrame, copies: Column | None = None, piece_rows: int = PIECE_ROWS, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(conv_id, counts, cost, audit, repaired_sha256): one row per conversation, as :func:`repaired_pieces` cuts them.
 
     A digest has to read its text from the start, so the pieces of a long conversation stream through one task;
     none of them stays there.
     """
-    whole = pieces.where("of = 1").select("conv_id", *_COUNTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+    ones, pieces = _parts(rows, copies, piece_rows, piece_chars)
+    whole = ones.select("conv_id", *_COUNTS, "audit", F.sha2("repaired", 256).alias("repaired_sha256"))
+    if pieces is None:
+        return whole
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict | None = None
@@ -366,6 +375,6 @@ def report(pieces: DataFrame) -> DataFrame:
     def closed(held: dict) -> dict:
         return {c: [held[c]] for c in ("conv_id", *_COUNTS)} | {"audit": ["".join(held["audit"])], "repaired_sha256": [held["hash"].hexdigest()]}
 
-    dealt = pieces.where("of > 1").select("conv_id", "piece", *_COUNTS, "audit", "lines", "repaired").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    dealt = pieces.select("conv_id", "piece", *_COUNTS, "audit", "lines", "repaired").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     schema = "conv_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", audit string, repaired_sha256 string"
     return whole.unionByName(arrow_rows(dealt, schema, body))

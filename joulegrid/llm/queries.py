@@ -70,7 +70,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
-    return conversations.report(conversations.repaired_pieces(rows, F.col("copies")))
+    return conversations.report(rows, F.col("copies"))
 
 
 URL_RULES: list[pathtree.Rule] = [

@@ -173,14 +173,15 @@ def test_one_piece_per_conversation(spark, talks):
         given = given.withColumn(name, F.lit("x"))
     pieces = conv.repaired_pieces(given, F.col("copies"))
     assert pieces.where("of > 1").count() == 0
-    assert collected(conv.report(pieces)) == expected(*talks)
-    assert conv.report(conv.repaired_pieces(given.limit(0))).count() == 0
+    assert collected(conv.report(given, F.col("copies"))) == expected(*talks)
+    assert conv.report(given.limit(0)).count() == 0 == conv.repaired_pieces(given.limit(0)).count()
 
 
 def test_many_pieces_give_the_same(spark, talks):
-    pieces = common.stored(conv.repaired_pieces(frame(spark, talks), F.col("copies"), piece_rows=4, piece_chars=2000))
+    small = {"piece_rows": 4, "piece_chars": 2000}
+    pieces = conv.repaired_pieces(frame(spark, talks), F.col("copies"), **small)
     assert pieces.where("of > 1").count() > 10
-    assert collected(conv.report(pieces)) == expected(*talks)
+    assert collected(conv.report(frame(spark, talks), F.col("copies"), **small)) == expected(*talks)
 
 
 def test_long_conversation_ends():
