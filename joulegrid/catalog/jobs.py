@@ -11,15 +11,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from joulegrid.anomalies import forest, jobs as anomaly_jobs
-from joulegrid.catalog.forecasts import _READY, _SPLIT, static
-from joulegrid.catalog.registry import query
+from joulegrid import schema
+from joulegrid.catalog.forecasts import _READY, _SPLIT, scored, static
+from joulegrid.catalog.registry import ORACLES, query
 from joulegrid.catalog.standins import PERIODS, SENSOR_BASE, Tables, define, with_tables
-from joulegrid.forecasting import company, features as feat, metrics, models
+from joulegrid.forecasting import company, features as feat, jobs, metrics, models
 from joulegrid.forecasting.forest import assembled
 from joulegrid.functions import calendar as cal
 from joulegrid.functions.medians import exact_medians, exact_percentiles
 from joulegrid.operators import joins, lookups
 from joulegrid.session import checkpoint_dir, written
+from joulegrid.sources import tables
 
 def _training(t: Tables) -> DataFrame:
     return written(feat.training_rows(feat.feature_table(t.dense(), static(t)), PERIODS))
@@ -145,6 +147,33 @@ def _(t):
     return metrics.comparison_table(metrics.breakdown_table(scored, models.LABEL, models.OUTPUT, "model_name", "split"))
 
 
+@query("stored_predictions", ORACLES["predictions_of_model"])
+def _(t):
+    """One model's predictions from a store that holds two, partitioned by model, version and month."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    for season in (24, 168):
+        jobs.store_predictions(t.spark, path, t.predictions(season))
+    return jobs.stored_predictions(t.spark, path, "seasonal_naive_168h")
+
+
+@query("latest_day_from_store", ORACLES["latest_day_forecast"])
+def _(t):
+    """The newest day of every sensor, searched backwards from the last month of a stored table."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    tables.upsert(t.spark, path, t.dense(), schema.ENERGY, schema.ENERGY_KEY, month_of="ts")
+    return jobs.predict_latest_stored(t.spark, path, static(t), "seasonal_naive_24h")
+
+
+@query("metric_breakdowns", with_tables(" UNION ALL ".join(
+    f"SELECT '{name}' AS breakdown, {value} AS value, CASE WHEN {small} THEN count(*) ELSE count(y) END AS n, "
+    f"CASE WHEN NOT ({small}) THEN round(avg(abs(y - p)) + 1e-9, 6) END AS mae, CASE WHEN NOT ({small}) THEN round(sqrt(avg((y - p) * (y - p))) + 1e-9, 6) END AS rmse FROM scored {rest}"
+    for name, value, small, rest in [("overall", "'all'", "false", "")] + [(g, f"CAST({g} AS VARCHAR)", "count(*) < 30", f"WHERE {g} IS NOT NULL GROUP BY {g}") for g in metrics.BREAKDOWNS]), "scored"))
+def _(t):
+    """All five breakdowns of the stored forecasts' errors from one scan."""
+    table = metrics.breakdown_table(scored(t), "actual_kwh", "predicted_kwh")
+    return table.select("breakdown", "value", "n", *[(F.col(c) + 1e-9).alias(c) for c in ("mae", "rmse")])  # exact halves round up on both sides
+
+
 @query("forest_statistics")
 def _(t):
     """Fit-time score statistics of the isolation forest."""

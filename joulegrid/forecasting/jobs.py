@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from joulegrid import schema
 from joulegrid.forecasting import features as feat, metrics, models
 from joulegrid.operators import aggregates as ag, joins, lookups
+from joulegrid.session import written
 from joulegrid.sources import tables
 
 VERSION = "v1"
@@ -52,6 +53,37 @@ def predict_latest(origins: DataFrame, readings: DataFrame, name: str, model: mo
     return prediction_rows(score(feat.latest_request(origins), readings, name, model), name)
 
 
+def latest_origins(spark: SparkSession, path: str, static: DataFrame) -> DataFrame:
+    """The latest usable origin of every sensor in a store of readings partitioned by month.
+
+    Months are searched backwards. Each step reads one month and, for the look-back, the one before it, and goes
+    on only with sensors that have no origin yet; a store that is up to date is read for its last two months.
+    """
+    store = tables.require(spark, path, "the ingestion job").withColumn(tables.MONTH, F.col(tables.MONTH).cast("string"))
+    months = sorted((m[0] for m in store.select(tables.MONTH).distinct().collect()), reverse=True)  # bounded by the calendar
+    left, found = written(static), None
+    for i, month in enumerate(months):
+        before = [m for m in months[i + 1 : i + 2]]
+        readings = store.where(F.col(tables.MONTH).isin([month, *before])).join(left.select("sensor_id"), "sensor_id", "left_semi").drop(tables.MONTH)
+        usable = feat.usable(feat.origins(readings, left)).where(F.date_format("origin_ts", "yyyy-MM") == month)
+        rank = F.row_number().over(Window.partitionBy("sensor_id").orderBy(F.col("origin_ts").desc()))
+        here = written(usable.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+        found = here if found is None else found.unionByName(here)
+        left = written(left.join(here.select("sensor_id"), "sensor_id", "left_anti"))
+        if left.isEmpty():
+            break
+    if found is None:
+        raise ValueError("the store of readings is empty")
+    return found
+
+
+def predict_latest_stored(spark: SparkSession, path: str, static: DataFrame, name: str, model: models.Model | None = None) -> DataFrame:
+    """The next 24 hours of every sensor, from the newest months of a store of readings."""
+    origins = latest_origins(spark, path, static)
+    readings = tables.require(spark, path, "the ingestion job").drop(tables.MONTH)
+    return prediction_rows(score(feat.expand(origins), readings, name, model), name)
+
+
 def backfill(origins: DataFrame, readings: DataFrame, name: str, start, end, model: models.Model | None = None) -> DataFrame:
     """Forecasts of every origin in a half-open range, by a model that is already fitted."""
     return prediction_rows(score(feat.range_request(origins, start, end), readings, name, model), name)
@@ -60,10 +92,20 @@ def backfill(origins: DataFrame, readings: DataFrame, name: str, start, end, mod
 def store_predictions(spark: SparkSession, path: str, predictions: DataFrame) -> dict[str, int]:
     return tables.upsert(
         spark, path, predictions, schema.PREDICTIONS, schema.PREDICTION_KEY, month_of="target_ts",
-        update=["generated_at", "predicted_kwh", "horizon"],
+        update=["generated_at", "predicted_kwh", "horizon"], parts=("model_name", "model_version"),
     )
 
 
+def stored_predictions(spark: SparkSession, path: str, name: str, version: str = VERSION, start=None, end=None) -> DataFrame:
+    """Predictions of one model, for target hours of a half-open range: only its folders and those months are read."""
+    rows = tables.require(spark, path, "the prediction job").where((F.col("model_name") == name) & (F.col("model_version") == version))
+    if start is not None:
+        rows = rows.where((F.col("target_ts") >= F.lit(start).cast("timestamp")) & (F.col(tables.MONTH) >= F.date_format(F.lit(start).cast("timestamp"), "yyyy-MM")))
+    if end is not None:
+        rows = rows.where((F.col("target_ts") < F.lit(end).cast("timestamp")) & (F.col(tables.MONTH) <= F.date_format(F.lit(end).cast("timestamp"), "yyyy-MM")))
+    return rows.select(*[f.name for f in schema.struct(schema.PREDICTIONS).fields])
+
+
 def _fit(name: str, train: DataFrame, settings: Settings) -> tuple[models.Model, dict, list[dict]]:
     if name == "ridge":
         model, alpha, folds = models.fit_ridge(train, settings.alphas, settings.folds)

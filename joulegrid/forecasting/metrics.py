@@ -52,24 +52,23 @@ def by_group(rows: DataFrame, actual: str, predicted: str, group: str, *keys: st
 
 
 def breakdown_table(scored: DataFrame, actual: str, predicted: str, *keys: str) -> DataFrame:
-    """Overall, horizon, building, site and use metrics as one long table."""
-    parts = [
-        overall(scored, actual, predicted, *keys).select(
-            *keys, F.lit("overall").alias("breakdown"), F.lit("all").alias("value"),
-            "n", "mae", "rmse", "r2", "cv_rmse_pct", F.lit(None).cast("string").alias("excluded_reason"),
-        )
-    ]
-    for group in BREAKDOWNS:
-        parts.append(
-            by_group(scored, actual, predicted, group, *keys).select(
-                *keys, F.lit(group).alias("breakdown"), F.col(group).cast("string").alias("value"),
-                "n", "mae", "rmse", "r2", "cv_rmse_pct", "excluded_reason",
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Overall, horizon, building, site and use metrics as one long table, from one scan of the scored rows."""
+    columns = metric_columns(actual, predicted)
+    grouped = scored.groupingSets([list(keys), *[[*keys, g] for g in BREAKDOWNS]], *keys, *BREAKDOWNS).agg(
+        F.count("*").alias("_rows"), *[c.alias(k) for k, c in columns.items()], *[(F.grouping(g) == 0).alias(f"_by_{g}") for g in BREAKDOWNS]
+    )
+    which, value = F.lit("overall"), F.lit("all")
+    for g in BREAKDOWNS:
+        which = F.when(F.col(f"_by_{g}"), g).otherwise(which)
+        value = F.when(F.col(f"_by_{g}"), F.col(g).cast("string")).otherwise(value)
+    small = (which != "overall") & (F.col("_rows") < MIN_GROUP_ROWS)
+    reason = F.concat(F.lit("n="), F.col("_rows").cast("string"), F.lit(f" < minimum {MIN_GROUP_ROWS}"))
+    named = grouped.select(
+        *keys, which.alias("breakdown"), value.alias("value"),
+        F.when(small, F.col("_rows")).otherwise(F.col("n")).alias("n"), *[F.when(~small, F.col(k)).alias(k) for k in columns if k != "n"],
+        F.when(small, reason).alias("excluded_reason"),
+    )
+    return named.where(F.col("value").isNotNull())
 
 
 def comparison_table(metrics: DataFrame) -> DataFrame:

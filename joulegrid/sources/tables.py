@@ -91,24 +91,24 @@ def _aligned(incoming: DataFrame, schema: str, keys: list[str], defaults: dict)
 READY = "ready"
 
 
-def _swap(spark: SparkSession, path: str, staging: str, shape, keys: list[str], monthly: bool) -> None:
-    """Replace the touched months, or the table, by the merged rows of the staging folder; doing it twice is harmless."""
+def _swap(spark: SparkSession, path: str, staging: str, shape, keys: list[str], layout: list[str]) -> None:
+    """Replace the touched partitions, or the table, by the merged rows of the staging folder; doing it twice is harmless."""
     final = spark.read.schema(shape).parquet(f"{staging}/out")
-    if monthly:
-        # a month is cut into as many files as its rows need, each sorted by the key
-        largest = final.groupBy(MONTH).count().agg(F.max("count")).first()[0] or 0
+    if layout:
+        # a partition is cut into as many files as its rows need, each sorted by the key
+        largest = final.groupBy(*layout).count().agg(F.max("count")).first()[0] or 0
         slices = max(1, -(-largest // ROWS_PER_FILE))
-        final = final.repartition(MONTH, F.pmod(F.xxhash64(*keys[:2]), F.lit(slices))).sortWithinPartitions(MONTH, *keys)
-        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+        final = final.repartition(*layout, F.pmod(F.xxhash64(*keys[:2]), F.lit(slices))).sortWithinPartitions(*layout, *keys)
+        final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
     else:
         final.write.mode("overwrite").parquet(path)
 
 
-def _shape(schema: str, monthly: bool):
-    return struct(f"{schema}, {MONTH} string") if monthly else struct(schema)
+def _shape(schema: str, layout: list[str]):
+    return struct(f"{schema}, {MONTH} string") if MONTH in layout else struct(schema)
 
 
-def recover(spark: SparkSession, path: str, schema: str, keys: list[str], monthly: bool) -> dict[str, int]:
+def recover(spark: SparkSession, path: str, schema: str, keys: list[str], layout: list[str]) -> dict[str, int]:
     """Finish or undo upserts that ended half-way; returns how many of each."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_staging")
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -116,7 +116,7 @@ def recover(spark: SparkSession, path: str, schema: str, keys: list[str], monthl
     for entry in store.listStatus(folder) if store.exists(folder) else []:
         left = entry.getPath().toString()
         if exists(spark, f"{left}/{READY}"):
-            _swap(spark, path, left, _shape(schema, monthly), keys, monthly)
+            _swap(spark, path, left, _shape(schema, layout), keys, layout)
             done["finished"] += 1
         else:
             done["undone"] += 1
@@ -132,23 +132,24 @@ def _mark(spark: SparkSession, staging: str) -> None:
 
 def upsert(
     spark: SparkSession, path: str, incoming: DataFrame, schema: str, keys: list[str],
-    month_of: str | None = None, update: list[str] | None = None, defaults: dict | None = None,
+    month_of: str | None = None, update: list[str] | None = None, defaults: dict | None = None, parts: tuple[str, ...] = (),
 ) -> dict[str, int]:
-    """Upsert ``incoming`` into the table at ``path``; returns rows read and written."""
+    """Upsert ``incoming`` into the table at ``path``; returns rows read and written.
+
+    The table is partitioned by the key columns ``parts`` and by the month of ``month_of``.
+    """
     defaults = defaults or {}
-    recover(spark, path, schema, keys, month_of is not None)
+    layout = [*parts, MONTH] if month_of else [*parts]
+    recover(spark, path, schema, keys, layout)
     rows = _aligned(incoming, schema, keys, defaults)
     staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
     by_month = F.date_format(month_of, "yyyy-MM") if month_of else None
     if month_of:
         rows = rows.withColumn(MONTH, by_month)
     # the input is evaluated once; the merge and the checks read the written copy
-    layout = [MONTH] if month_of else []
     rows.write.partitionBy(*layout).parquet(f"{staging}/in")
     shape = rows.schema
     rows = spark.read.schema(shape).parquet(f"{staging}/in")
-    if month_of:
-        rows = rows.withColumn(MONTH, F.col(MONTH).cast("string"))
     reject_duplicates(rows, keys)
     read = rows.count()
     current = read_or_none(spark, path)
@@ -157,15 +158,15 @@ def upsert(
         if month_of:
             current = current.withColumn(MONTH, F.lit(None).cast("string"))
     else:
-        current = current.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(schema).fields], *layout)
-    if month_of:
-        # only touched months are read; their number is bounded by the calendar
-        touched = [m[0] for m in rows.select(MONTH).distinct().collect()]
-        current = current.where(F.col(MONTH).isin(touched) if touched else F.lit(False)).withColumn(MONTH, F.col(MONTH).cast("string"))
-    result = merged(current, rows, [*keys, *layout], update, defaults)
+        current = current.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct(schema).fields], *([MONTH] if month_of else []))
+    for part in layout:
+        # only touched partitions are read; their number is bounded by the calendar and the names
+        touched = [m[0] for m in rows.select(part).distinct().collect()]
+        current = current.where(F.col(part).isin(touched) if touched else F.lit(False)).withColumn(part, F.col(part).cast("string"))
+    result = merged(current, rows, [*keys, *([MONTH] if month_of else [])], update, defaults)
     result.write.partitionBy(*layout).parquet(f"{staging}/out")
     _mark(spark, staging)
-    _swap(spark, path, staging, _shape(schema, month_of is not None), keys, month_of is not None)
+    _swap(spark, path, staging, _shape(schema, layout), keys, layout)
     delete(spark, staging)
     return {"read": read, "written": read}
 

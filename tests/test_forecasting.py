@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from joulegrid.forecasting import company, features as feat, jobs, metrics, models
 from joulegrid.functions import medians
 from joulegrid.operators import aggregates as ag, lookups
-from joulegrid.sources import files
+from joulegrid import schema
+from joulegrid.sources import files, tables
 from joulegrid.plans import report
 
 
@@ -210,6 +211,59 @@ def test_prediction_and_backfill(trained, spark, tmp_path):
     assert ag.forecast_screen(view).first().predictions == 72
 
 
+def test_latest_day_is_searched_backwards(make, spark, tmp_path, monkeypatch):
+    """Sensors that end in different months; the plan of a fresh store reads two of five."""
+    static = static_of(spark, 1, 2, 3, 4)
+    readings = make((1, "2016-01-01", range(24 * 140)), (2, "2016-01-01", range(24 * 75)), (3, "2016-02-20", range(24 * 20)), (4, "2016-05-01", range(24 * 3)))
+    path = str(tmp_path / "energy")
+    tables.upsert(spark, path, readings, schema.ENERGY, schema.ENERGY_KEY, month_of="ts")
+    want = jobs.predict_latest(feat.origins(readings, static), readings, "seasonal_naive_24h")
+    got = jobs.predict_latest_stored(spark, path, static, "seasonal_naive_24h")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 72
+    read = []
+    monkeypatch.setattr(feat, "origins", lambda r, s, *a, origins=feat.origins: read.append(r) or origins(r, s, *a))
+    jobs.latest_origins(spark, path, static.where("sensor_id = 1")).collect()
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(read) == 1 and "PartitionFilters: [" in plan and "2016-05" in plan and "2016-03" not in plan
+
+
+def test_predictions_are_read_by_folder(spark, tmp_path):
+    rows = [(s, datetime(2016, m, 1, s), name, "v1", datetime(2016, m, 1), s, float(s)) for s in (1, 2) for m in (1, 2, 3) for name in ("a", "b")]
+    columns = "sensor_id long, target_ts timestamp, model_name string, model_version string, generated_at timestamp, horizon int, predicted_kwh double"
+    path = str(tmp_path / "predictions")
+    for _ in range(2):
+        jobs.store_predictions(spark, path, spark.createDataFrame(rows, columns))
+    jobs.store_predictions(spark, path, spark.createDataFrame([(1, datetime(2016, 2, 1, 1), "a", "v1", datetime(2016, 2, 1), 1, 9.0)], columns))
+    found = jobs.stored_predictions(spark, path, "a", start="2016-02-01", end="2016-03-01")
+    assert sorted((r.sensor_id, float(r.predicted_kwh)) for r in found.collect()) == [(1, 9.0), (2, 2.0)]
+    assert spark.read.parquet(path).count() == 12
+    scan = next(line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line)
+    filters = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "model_name" in filters and "model_version" in filters and "month" in filters and "target_ts" in scan.split("PushedFilters: [")[1]
+
+
+def test_breakdowns_from_one_scan_equal_the_single_ones(spark):
+    rng = np.random.default_rng(3)
+    n = 500
+    rows = spark.createDataFrame(
+        [(int(rng.integers(1, 25)), int(i % 9), None if i % 9 == 4 else int(i % 3), "Office" if i % 2 else None, None if i % 50 == 0 else float(rng.normal(50, 9)), float(rng.normal(50, 9)), "m" if i % 4 else "k") for i in range(n)],
+        "horizon int, building_id int, site_id int, primary_use string, y double, p double, model string",
+    ).cache()
+    table = metrics.breakdown_table(rows, "y", "p", "model")
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    got = {(r.model, r.breakdown, r.value): r for r in table.collect()}
+    count = 0
+    for r in metrics.overall(rows, "y", "p", "model").collect():
+        assert (got[r.model, "overall", "all"].n, got[r.model, "overall", "all"].r2) == (r.n, pytest.approx(r.r2))
+        count += 1
+    for g in metrics.BREAKDOWNS:
+        for r in metrics.by_group(rows, "y", "p", g, "model").collect():
+            other = got[r.model, g, str(r[g])]
+            assert all(other[c] == (pytest.approx(r[c]) if isinstance(r[c], float) else r[c]) for c in ("n", "mae", "rmse", "r2", "cv_rmse_pct", "excluded_reason"))
+            count += 1
+    assert count == len(got)
+
+
 def test_no_selection_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="training job"):
         jobs.selected_model(spark, str(tmp_path))

@@ -139,12 +139,12 @@ def test_a_killed_upsert_is_finished_or_undone(spark, tmp_path, monkeypatch, ste
         broken.setattr(tables, step, killed)
         with pytest.raises(KeyboardInterrupt):
             put(spark, path, [(1, "2016-02-01 00:00:00", 9.0), (2, "2016-03-01 00:00:00", 3.0)])
-    done = tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, True)
+    done = tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, [tables.MONTH])
     assert done[kept] == 1 and sum(done.values()) == 1
     february = 2.0 if kept == "undone" else 9.0
     want = [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-02-01 00:00:00", february)] + ([] if kept == "undone" else [(2, "2016-03-01 00:00:00", 3.0)])
     assert sorted((r.sensor_id, str(r.ts), float(r.consumption_kwh)) for r in spark.read.parquet(path).collect()) == want
-    assert tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, True) == {"finished": 0, "undone": 0}
+    assert tables.recover(spark, path, schema.ENERGY, schema.ENERGY_KEY, [tables.MONTH]) == {"finished": 0, "undone": 0}
 
 
 def test_the_next_upsert_recovers_first(spark, tmp_path, monkeypatch):
