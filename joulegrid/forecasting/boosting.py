@@ -3,7 +3,8 @@
 Every round fits one tree to what the earlier ones leave over. The leaf whose split lowers the squared error most is
 split next, until the tree has ``leaves`` leaves. A pass over the rows adds up draws and residuals per (node, feature,
 bin) for the smaller children of all leaves that may still be split; the larger child is its parent minus its sibling.
-So a tree costs about as many passes as it is deep. Only histograms reach the driver: a bounded number of nodes, each of
+So a tree costs about as many passes as it is deep; the root of the next one is its root less what the leaves' values
+take from their draws. Only histograms reach the driver: a bounded number of nodes, each of
 the same size. Rows carry their prediction; it is written anew every few rounds and the trees since then are added
 while rows are read.
 
@@ -99,6 +100,17 @@ class Tree:
             self.nodes[candidates[0]].taken = True
         return []
 
+    def next_root(self, rate: float) -> np.ndarray:
+        """The histogram of all rows once every leaf's value is taken off its rows."""
+        reached, out = [0], self.nodes[0].histogram.copy()
+        while reached:
+            node = self.nodes[reached.pop()]
+            if node.taken:
+                reached += node.children
+            elif node.n:
+                out[1] -= rate * node.s / node.n * node.histogram[0]
+        return out
+
     def arrays(self, rate: float, known: bool = False) -> tuple[np.ndarray, ...]:
         """(feature, cut, below, above, value); with ``known`` every split is followed whose children are known."""
         followed = [node.children is not None if known else node.taken for node in self.nodes]
@@ -201,10 +213,17 @@ def boosted(rows: DataFrame, features, label: str, shape: Shape) -> tuple[list[t
     base = float(s / n) if n else 0.0
     recent: list[tuple] = [_leaf(base)]
     trees: list[Tree] = []
-    best, since = np.inf, 0
+    best, since, root = np.inf, 0, None
     for _ in range(shape.rounds):
         tree = Tree(sizes, shape.leaf)
-        found, error, rows_out = _pass(state, recent, None, [(0, -1, 0)], sizes, hold_out, parts)
+        if root is None:
+            found, _, _ = _pass(state, recent, None, [(0, -1, 0)], sizes, hold_out, parts)
+            root = found[0]
+        tree.add(root)
+        error, rows_out = 0.0, 0
+        while wanted := tree.take(shape.leaves):
+            # every pass of a round sees the same held-out error
+            error, rows_out = _grow(tree, wanted, state, recent, sizes, hold_out, parts)
         if rows_out:
             if error / rows_out < best - shape.tolerance:
                 best, since = error / rows_out, 0
@@ -212,17 +231,15 @@ def boosted(rows: DataFrame, features, label: str, shape: Shape) -> tuple[list[t
                 since += 1
             if since >= shape.patience:
                 break
-        tree.add(found[0])
-        while wanted := tree.take(shape.leaves):
-            _grow(tree, wanted, state, recent, sizes, hold_out, parts)
         if tree.leaves() == 1:
             break
         trees.append(tree)
         recent.append(tree.arrays(shape.rate))
+        root = tree.next_root(shape.rate)
         if len(recent) > shape.written_every:
             fresh = written(_left_over(state, recent))
             discard(state)
-            state, recent = fresh, []
+            state, recent, root = fresh, [], None
     discard(state)
     return [_thresholds(t.arrays(shape.rate), edges) for t in trees], base
 
@@ -231,19 +248,23 @@ def _leaf(value: float) -> tuple[np.ndarray, ...]:
     return np.array([-1], dtype=np.int16), np.zeros(1, dtype=int), np.array([-1], dtype=np.int32), np.array([-1], dtype=np.int32), np.array([value])
 
 
-def _grow(tree: Tree, wanted: list[int], state: DataFrame, recent: list[tuple], sizes: list[int], hold_out: bool, parts: int) -> None:
-    """Children of the wanted leaves: the smaller one is counted, its sibling is the rest of the parent."""
+def _grow(tree: Tree, wanted: list[int], state: DataFrame, recent: list[tuple], sizes: list[int], hold_out: bool, parts: int) -> tuple[float, int]:
+    """Children of the wanted leaves: the smaller one is counted, its sibling is the rest of the parent.
+
+    Returns the held-out error before this tree, and the rows behind it.
+    """
     arrays = (*tree.arrays(1.0, known=True), np.array([node.feature for node in tree.nodes]))
     asked = []
     for i in wanted:
         node = tree.nodes[i]
         asked.append((i, i, 0 if node.n_below <= node.n - node.n_below else 1))
-    found, _, _ = _pass(state, recent, arrays, asked, sizes, hold_out, parts)
+    found, error, rows = _pass(state, recent, arrays, asked, sizes, hold_out, parts)
     for i, _, side in asked:
         node = tree.nodes[i]
         pair = [found[i], node.histogram - found[i]]
         below, above = pair if side == 0 else pair[::-1]
         node.children = (tree.add(below), tree.add(above))
+    return error, rows
 
 
 def _thresholds(tree: tuple[np.ndarray, ...], edges: list[np.ndarray]) -> tuple[np.ndarray, ...]:
