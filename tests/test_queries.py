@@ -167,7 +167,7 @@ def test_registered_queries_have_oracles_or_reasons():
         "forest_scores", "injected_benchmark", "ridge_forecast", "random_forest_forecast", "gradient_boosting_forecast",
         "ridge_alpha_search", "model_comparison", "forest_statistics", "isolation_alerts", "detection_job", "company_forecasts",
     }
-    assert with_tables("SELECT 1", "alerts").count("base AS (") == 1
+    assert with_tables("SELECT 1", "alerts").count("base AS MATERIALIZED (") == 1
 
 
 @pytest.mark.parametrize("name", ["building_comparison", "quality_alerts", "latest_day_forecast", "wall_clock_to_utc"])
