@@ -16,7 +16,7 @@ a pair that could be similar.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # a shingle is frequent from so many sampled texts on; one text in SAMPLE is sampled, by its id
 FREQUENT, SAMPLE = 4, 4
-# classes of shingles whose counts' parities are kept for every text, eight words of 64
-PARITIES = 512
-WORDS = [f"p{i}" for i in range(PARITIES // 64)]
+# classes of shingles whose counts' parities are kept for the texts compared last, in words of 64
+PARITIES = 2048
 # bits of an array that every task holds; beyond, more shingles share a bit, which only costs time
 MOST_BITS = 30
 _FLUSH = 2_000_000
@@ -211,8 +210,8 @@ def _may(one: str, other: str) -> Column:
 
 def _parities_may(other: str) -> Column:
     """The symmetric difference of similar sets is at most a ninth of their sizes; parities can't differ in more."""
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{other}{w}"))) for w in WORDS), F.lit(0))
-    return apart * 9 <= F.col("n") + F.col(f"{other}n")
+    words = F.zip_with("odd", f"{other}odd", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(words, F.lit(0), lambda total, x: total + x) * 9 <= F.col("n") + F.col(f"{other}n")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -228,15 +227,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             sets = [shingle_set(t) for t in texts(batch)]
-            odd = np.array([parities(s) for s in sets], dtype=np.int64).reshape(-1, len(WORDS))
-            words = {w: np.ascontiguousarray(odd[:, i]) for i, w in enumerate(WORDS)}
-            yield {"doc_id": batch.column("doc_id"), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]} | words
+            yield {"doc_id": batch.column("doc_id"), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]}
 
-    words = ", ".join(f"{w} long" for w in WORDS)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(arrow_rows(source, f"doc_id long, node long, n int, {words}", body))
-    nodes = rows.where("doc_id IS NOT NULL").groupBy("node")
-    nodes = stored(nodes.agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n", *WORDS)]))
+    rows = stored(arrow_rows(source, "doc_id long, node long, n int", body))
+    nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     open_ones = members(source, nodes)
     # every text meets the first member of its largest bucket
     near = open_ones.where(_may("", "first.")).where("node <> first.node").groupBy("node").agg(F.max(F.struct("k", "first.node")).alias("to"))
@@ -255,8 +250,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         asked, met, tried, verified, linked = _meet(source, nodes, fresh, tried, verified, linked)
         discard(open_ones)
         open_ones = rest
-    rest = _apart(open_ones, linked).select("shingle", "node", "n", "rest", "root").join(nodes.select("node", *WORDS), "node")
-    other = rest.select("shingle", F.struct("node", "n", "rest", "root", *WORDS).alias("other"))
+    rest = _apart(open_ones, linked).select("shingle", "node", "n", "rest", "root")
+    odd = _of_nodes(source, nodes, rest.select("node"), "odd array<long>", lambda s: {"odd": [parities(x) for x in s]})
+    rest = rest.join(odd, "node")
+    other = rest.select("shingle", F.struct("node", "n", "rest", "root", "odd").alias("other"))
     both = rest.join(other, "shingle").where("node > other.node AND root <> other.root").where(_may("", "other.")).where(_parities_may("other."))
     fresh = stored(_pairs(both.select(F.col("node").alias("a"), F.col("other.node").alias("b"))).join(tried, ["a", "b"], "left_anti"))
     *_, linked = _meet(source, nodes, fresh, tried, verified, linked)
@@ -287,18 +284,25 @@ def _meet(source: DataFrame, nodes: DataFrame, fresh: DataFrame, tried: DataFram
     return asked, met, tried.unionByName(fresh), verified.unionByName(more), components(verified.unionByName(more)) if met else linked
 
 
-def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stored(nodes.join(wanted, "node", "left_semi").select("doc_id").distinct())
+def _of_nodes(source: DataFrame, nodes: DataFrame, wanted: DataFrame, kind: str, body: Callable[[list[np.ndarray]], dict]) -> DataFrame:
+    """(node, ...): something of the shingle sets of the wanted nodes, read again from their texts and written once."""
+    ids = stored(nodes.join(wanted.distinct(), "node", "left_semi").select("doc_id", "node"))
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             sets = [shingle_set(t) for t in texts(batch)]
-            yield {"node": [set_key(s) for s in sets], "shingles": [np.unique(s.astype(np.uint32)).tobytes() for s in sets]}
+            yield {"doc_id": batch.column("doc_id"), "node": [set_key(s) for s in sets]} | body(sets)
+
+    chosen = source.join(few_ids(stored(ids.select("doc_id").distinct())), "doc_id", "left_semi")
+    # of an id on several rows only those of its node; repeated rows repeat
+    found = arrow_rows(chosen, f"doc_id long, node long, {kind}", made).join(few_ids(ids), ["doc_id", "node"], "left_semi")
+    return stored(found.drop("doc_id"))
 
-    chosen = source.join(few_ids(ids), "doc_id", "left_semi").select("text")
-    sets = stored(arrow_rows(chosen, "node long, shingles binary", body))
+
+def _verified(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes whose sets of five-word shingles reach the similarity; others are dropped."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = _of_nodes(source, nodes, wanted, "shingles binary", lambda s: {"shingles": [np.unique(x.astype(np.uint32)).tobytes() for x in s]})
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
