@@ -6,7 +6,7 @@ that order, so buckets of one shingle stay small at every size of the corpus. Wh
 array, counted over a hashed quarter of the texts: the order is free, so the sample changes no result. A second bit
 array marks the prefix shingles that several texts have; only those become rows.
 
-Every text first meets one other member of its largest bucket; what that links is contracted, then texts of buckets
+Every text first meets the texts that SimHash balls link it to and one other member of its largest bucket; what that links is contracted, then texts of buckets
 with several groups meet two others, and at last all pairs that are still apart. A pair is compared only if sizes and
 places of the shared shingle allow the similarity, at last also only if parities do: a text's shingles fall into
 PARITIES classes, and texts that differ in k of these counts' parities differ in k shingles at least. No filter drops
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from joulegrid.llm.common import arrow_rows, discard, few_ids, stored, texts
 from joulegrid.llm.components import components
-from joulegrid.llm.shingles import shingle_hashes
+from joulegrid.llm.shingles import majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -218,24 +218,29 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, balls: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc_id, node, root): texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    ``node`` names a distinct set of shingles, ``root`` its group.
+    ``node`` names a distinct set of shingles, ``root`` its group. ``balls`` proposes pairs (a, b) of nodes from their
+    SimHash fingerprints (node, fp); it gets the nodes that share a prefix shingle, since no others can be similar.
     """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sets = [shingle_set(t) for t in texts(batch)]
-            yield {"doc_id": batch.column("doc_id"), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]}
+            hashes = [shingle_hashes(t, SHINGLE) for t in texts(batch)]
+            sets = [np.unique(h) for h in hashes]
+            prints = np.array([majority(h) if len(h) else 0 for h in hashes], dtype=np.uint64).view(np.int64)
+            yield {"doc_id": batch.column("doc_id"), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets], "fp": prints}
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stored(arrow_rows(source, "doc_id long, node long, n int", body))
+    rows = stored(arrow_rows(source, "doc_id long, node long, n int, fp long", body))
     nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     open_ones = members(source, nodes)
-    # every text meets the first member of its largest bucket
+    # every text meets those within two bits of its fingerprint, as op10 links them, and the first member of its largest bucket
+    prints = rows.where("doc_id IS NOT NULL").select("node", "fp").distinct().join(open_ones.select("node").distinct(), "node", "left_semi")
+    near_prints = balls(prints)
     near = open_ones.where(_may("", "first.")).where("node <> first.node").groupBy("node").agg(F.max(F.struct("k", "first.node")).alias("to"))
-    tried = stored(_pairs(near.select(F.col("node").alias("a"), F.col("to.node").alias("b"))))
+    tried = stored(_pairs(near.select(F.col("node").alias("a"), F.col("to.node").alias("b")).unionByName(near_prints)))
     verified = stored(_verified(source, nodes, tried))
     linked = components(verified)
     # then the smallest and the largest group of its largest bucket, for as long as that links a good part of them

@@ -19,22 +19,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from joulegrid.llm.common import arrow_rows, few_ids, stored, texts
 from joulegrid.llm.components import components
 from joulegrid.llm.nearsets import SHINGLE, set_key, shingle_set, similar_groups
-from joulegrid.llm.shingles import shingle_hashes
-
-
-def _majority(hashes: np.ndarray) -> int:
-    """64-bit number whose bits are set in over half of the hashes."""
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 15):  # very long texts in pieces
-        bits = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+from joulegrid.llm.shingles import majority, shingle_hashes
 
 
 def fingerprint(text: str, size: int) -> int:
     """SimHash over word shingles; a text without words has fingerprint zero."""
     hashes = shingle_hashes(text, size)
-    return _majority(hashes) if len(hashes) else 0
+    return majority(hashes) if len(hashes) else 0
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -67,6 +58,16 @@ def links(prints: DataFrame, keys: tuple[str, ...] = (), bits: int = 64) -> Data
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
+def ball_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes of (node, fp) whose fingerprints are equal or linked, by one member of every fingerprint."""
+    prints = stored(prints)
+    least = stored(prints.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = prints.select("fp", F.col("node").alias("a")).join(least.select("fp", F.col("node").alias("b")), "fp").select("a", "b")
+    ends = [least.select(F.col("fp").alias(f"_{end}"), F.col("node").alias(end)) for end in ("a", "b")]
+    found = links(least.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return equal.unionByName(found.join(ends[0], "_a").join(ends[1], "_b").select("a", "b")).where("a <> b")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -96,7 +97,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     are kept (they can't be told apart). An empty table stays empty. Only ids that go, or that stand on
     several rows, are joined to the texts.
     """
-    groups = stored(similar_groups(docs).where("doc_id IS NOT NULL"))
+    groups = stored(similar_groups(docs, ball_pairs).where("doc_id IS NOT NULL"))
     heads = groups.groupBy("root").agg(F.min("doc_id").alias("head"))
     judged = stored(groups.join(heads, "root").select("doc_id", "node", "root", (F.col("doc_id") == F.col("head")).alias("kept")))
     ids = stored(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from joulegrid.llm import simhash
+from joulegrid.llm import nearsets, simhash
 
 
 def word(r: random.Random) -> str:
@@ -90,3 +90,28 @@ def test_different_texts_under_one_id_are_judged_apart(spark):
     rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, b), (4, a)]
     left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x["doc_id"], x["text"]) for x in left) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_similar_texts_are_proposed_by_their_fingerprints(spark):
+    prints = spark.createDataFrame([(5, 0b1000), (6, 0b1000), (7, 0b1011), (8, 0b1111 << 20)], "node long, fp long")
+    pairs = {(r["a"], r["b"]) for r in simhash.ball_pairs(prints).collect()}
+    assert (6, 5) in pairs and {frozenset(p) for p in pairs} == {frozenset((5, 6)), frozenset((5, 7))}
+
+    r = random.Random(8)
+    near = 64
+    while near > 2:  # one word more moves few bits of a long text
+        words = [word(r) for _ in range(1500)]
+        pair = [" ".join(words), " ".join(words[:750] + ["new"] + words[750:])]
+        near = (simhash.fingerprint(pair[0], 5) ^ simhash.fingerprint(pair[1], 5)).bit_count()
+    rows = [(1, pair[0]), (2, pair[1]), (3, " ".join(word(r) for _ in range(60)))]
+    proposed = []
+
+    def balls(nodes):
+        found = simhash.ball_pairs(nodes)
+        proposed.extend(found.collect())
+        return found
+
+    groups = nearsets.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), balls).collect()
+    root = {g["doc_id"]: g["root"] for g in groups}
+    assert root[1] == root[2] != root[3]
+    assert len(proposed) == 1
