@@ -6,7 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from joulegrid.catalog.jobs import _across_clock_changes
 from joulegrid.catalog.standins import Tables
+from joulegrid.forecasting import company
 from joulegrid.operators import joins
 from joulegrid.session import configure
 
@@ -39,3 +41,21 @@ def test_users_hours_and_values_may_be_null(spark, tmp_path):
     assert found == {(None, 29 * 24, 29 * 24), (1_000_001, 1, 0), (1_000_002, 29 * 24, 29 * 24), (1_000_003, 29 * 24, 29 * 24)}
     met = base.where("sensor_id = 1000003 AND ts = timestamp'2024-02-03 05:00:00'").first()
     assert met.error and met.other
+
+
+def test_submitted_hours_are_dealt_before_they_are_made(spark, tmp_path):
+    rows = [(k, f"c{k}", 0, 10.0, "BUILDING") for k in range(8)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    hours = _across_clock_changes(Tables(configure(spark), str(tmp_path)))
+    above, below = hours._jdf.queryExecution().executedPlan().toString().split("Generate", 1)
+    assert "Exchange" not in above and "REPARTITION_BY_NUM" in below
+    assert hours.count() == 2 * (240 + 600 + 170 + 216)
+
+
+def test_submitted_rows_are_parsed_once(spark):
+    places = spark.createDataFrame([("a", "1", "2", "3", "use", "UTC")], ", ".join(f"{f} string" for f in company.FIELDS))
+    energy = spark.createDataFrame([("a", f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00", str(h)) for h in range(240)], "building_code string, timestamp string, energy_kwh string")
+    _, readings, rejections = company.validate(places, energy)
+    # the submission is read from what was written after parsing
+    assert readings.inputFiles() and rejections.inputFiles()
+    assert readings.count() == 240 and rejections.isEmpty()
