@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from joulegrid.anomalies import rules
 from joulegrid.catalog.jobs import _across_clock_changes
 from joulegrid.catalog.standins import Tables
 from joulegrid.forecasting import company
@@ -59,3 +60,14 @@ def test_submitted_rows_are_parsed_once(spark):
     # the submission is read from what was written after parsing
     assert readings.inputFiles() and rejections.inputFiles()
     assert readings.count() == 240 and rejections.isEmpty()
+
+
+def test_runs_read_the_chunks_that_were_shuffled_once(spark, tmp_path):
+    found = rules.detect(events(spark, tmp_path, 20).defects())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = found.select("sensor_id", "ts", "score")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # hours of users twice, chunks, their hours and the neighbours' share: all of them once, not again for the border runs
+    assert plan.count("Generate explode(sequence(") == 5 and "ReusedExchange" in plan
