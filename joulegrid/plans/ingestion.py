@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from joulegrid import schema
-from joulegrid.operators import aggregates as ag, series as ser
+from joulegrid.operators import aggregates as ag
 from joulegrid.sources import cleaning, files, tables
 
 MAX_MISSING_RATE = 0.05
@@ -23,6 +23,12 @@ def missing_rates(wide: DataFrame) -> DataFrame:
     return wide.agg(shares.alias("_s")).select(F.inline("_s"))
 
 
+def missing_rates_of(long: DataFrame) -> DataFrame:
+    """Share of missing hours of every building of long rows."""
+    value = F.col("consumption_kwh")
+    return long.groupBy("building_id").agg(F.avg((value.isNull() | F.isnan(value)).cast("double")).alias("missing_rate"))
+
+
 def candidates(metadata: DataFrame, rates: DataFrame) -> DataFrame:
     """Buildings with an electricity meter and few missing hours."""
     return (
@@ -89,8 +95,8 @@ def run(
     Safe to run again.
     """
     metadata = files.read_metadata(spark, metadata_path)
-    wide = files.read_wide_readings(spark, readings_path)
-    picked = candidates(metadata, missing_rates(wide))
+    columns = files.wide_columns(spark, readings_path)
+    picked = candidates(metadata, missing_rates_of(files.read_long_readings(spark, readings_path, columns)))
     if max_sites is not None or max_buildings is not None:
         picked = ag.select_buildings(picked, max_sites or _ALL, max_buildings or _ALL)
     picked.write.mode("overwrite").parquet(f"{out}/selection")
@@ -113,11 +119,10 @@ def run(
     sites, buildings, sensors = (spark.read.parquet(f"{out}/{n}") for n in ("sites", "buildings", "sensors"))
 
     def readings() -> dict:
-        codes = [row[0] for row in selected.select("building_id").collect()]  # columns of the file: bounded by its header
-        long = ser.unpivot_readings(
-            cleaning.with_source_order(wide).select(F.col("timestamp").alias("local_ts"), "ordinal", *[f"`{c}`" for c in codes]),
-            ["local_ts", "ordinal"], codes,
-        ).withColumn("consumption_kwh", F.when(~F.isnan("consumption_kwh"), F.col("consumption_kwh")))
+        loaded = columns.join(selected.select("building_id"), "building_id", "left_semi")
+        long = files.read_long_readings(spark, readings_path, loaded).withColumnRenamed("building_id", "building_code").withColumn(
+            "consumption_kwh", F.when(~F.isnan("consumption_kwh"), F.col("consumption_kwh"))
+        )
         zones = buildings.join(sites, "site_id").select("building_code", "timezone")
         clean, counters = cleaning.observed_readings(long, zones)
         meter_of = buildings.join(sensors, "building_id").select("building_code", "sensor_id")

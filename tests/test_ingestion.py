@@ -255,3 +255,40 @@ def test_inspection(spark, raw):
     }
     present = {r.column_name: r.present for r in inspection.column_presence(files.header(spark, raw["metadata"]), metadata).collect()}
     assert present["sqm"] and not present["lat"]
+
+
+def test_a_wide_file_may_have_more_columns_than_a_plan_has_expressions(spark, tmp_path):
+    codes = [f"b{i:05d}" for i in range(21_000)]
+    path = str(tmp_path / "wide")
+    gone = {("2016-01-01 00:00:00", "b00000"), ("2016-01-01 01:00:00", "b20999"), ("2016-01-01 01:00:00", "b00007")}
+    stamps = spark.createDataFrame([("2016-01-01 00:00:00",), ("2016-01-01 01:00:00",)], "timestamp string")
+    long = stamps.join(spark.range(len(codes)).select(F.format_string("b%05d", "id").alias("building_code"), F.col("id").cast("decimal(12,4)").alias("consumption_kwh")))
+    files.write_wide_readings(long.where(~F.struct("timestamp", "building_code").isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in gone])), path)
+    assert files.header(spark, path) == ["timestamp", *codes]
+    columns = files.wide_columns(spark, path)
+    found = files.read_long_readings(spark, path, columns)
+    assert found.count() == 2 * len(codes)
+    assert {(str(r.local_ts), r.building_id) for r in found.where("consumption_kwh IS NULL").collect()} == gone
+    assert found.where(F.col("consumption_kwh") != F.substring("building_id", 2, 5).cast("double")).isEmpty()
+    rates = ingestion.missing_rates_of(found)
+    assert sorted(tuple(r) for r in rates.where("missing_rate > 0").collect()) == [("b00000", 0.5), ("b00007", 0.5), ("b20999", 0.5)]
+
+
+def test_long_readings_read_lines_as_the_wide_reader_does(spark, tmp_path):
+    for name, lines in {
+        "a": ['b1,"timestamp",b2', '1.5,2016-01-01 00:00:00,"2.5"', "", "NaN,2016-01-01 01:00:00,", "x,2016-01-01 02:00:00"],
+        "b": ["b1,timestamp,b2", '"3",2016-01-01T03:00:00,1e2', "4,2016-01-01 04:00:00Z, 5", "6,bad,7", "8,,9"],
+    }.items():
+        (tmp_path / "wide").mkdir(exist_ok=True)
+        (tmp_path / "wide" / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "wide")
+    wide = cleaning.with_source_order(files.read_wide_readings(spark, path)).withColumnRenamed("timestamp", "local_ts")
+    expected = ser.unpivot_readings(wide, ["local_ts", "ordinal"], ["b1", "b2"])
+    found = files.read_long_readings(spark, path, files.wide_columns(spark, path))
+
+    def plain(rows):
+        file = F.element_at(F.split("ordinal.file", "/"), -1)
+        return sorted(str(tuple(r)) for r in rows.select("local_ts", file, rows.columns[2], "consumption_kwh").collect())
+
+    assert plain(found) == plain(expected) and len(plain(found)) == 14
+    assert [r.consumption_kwh for r in found.where("building_id = 'b1' AND ordinal.file LIKE '%b.csv'").orderBy("ordinal").collect()] == [3.0, 4.0, 6.0, 8.0]
