@@ -162,6 +162,39 @@ def test_upsert_rejects_a_repeated_key(spark, tmp_path):
         put(spark, str(tmp_path / "energy"), [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-01-01 00:00:00", 2.0)])
 
 
+def test_the_merge_writes_the_files_that_the_table_gets(spark, tmp_path, monkeypatch):
+    """The staged files are moved into the table; they were read, dealt and written a second time."""
+    path, staged = str(tmp_path / "energy"), []
+    put(spark, path, [(1, "2016-01-01 00:00:00", 1.0), (1, "2016-02-01 00:00:00", 2.0)])
+    mark = tables._mark
+
+    def seen(session, staging):
+        staged.extend(spark.read.parquet(f"{staging}/out").inputFiles())
+        mark(session, staging)
+
+    monkeypatch.setattr(tables, "_mark", seen)
+    put(spark, path, [(1, "2016-02-01 00:00:00", 9.0), (2, "2016-02-01 00:00:00", 3.0), (2, "2016-03-01 00:00:00", 4.0)])
+    now = {f.rsplit("/", 1)[1] for f in spark.read.parquet(path).inputFiles()}
+    moved = {f.rsplit("/", 1)[1] for f in staged}
+    assert moved and moved <= now
+
+
+def test_merge_in_place_is_the_join(spark, monkeypatch):
+    """Slices, repeated old keys, NULL keys and protected columns, beside the full outer join."""
+    from pyspark.sql import Observation
+
+    monkeypatch.setattr(tables, "ROWS_PER_FILE", 3)
+    fields = "k long, m string, a int, b int"
+    old = spark.createDataFrame([(1, "x", 1, 1), (1, "x", 2, 2), (2, "x", 3, 3), (None, "x", 4, 4), (None, "x", 5, 5), (3, "y", 6, 6)], fields)
+    new = spark.createDataFrame([(1, "x", None, 70), (4, "x", 8, 80), (None, "x", 9, 90), (3, "x", 10, 100)], fields)
+    both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    seen = Observation()
+    got = tables._merged_in_place(both, {("x",): 9, ("y",): 1}, ["k"], ["m"], ["a"], seen)
+    want = tables.merged(old, new, ["k", "m"], ["a"])
+    assert sorted(map(str, got.select("k", "m", "a", "b").collect())) == sorted(map(str, want.select("k", "m", "a", "b").collect()))
+    assert seen.get["most"] == 1
+
+
 def test_resolved_survives_an_upsert(spark, tmp_path):
     path = str(tmp_path / "alerts")
     alert = spark.createDataFrame([(1, datetime(2016, 1, 1), "m", "v1", "t", "high", 1.0, True)], "sensor_id long, ts timestamp, method string, detector_version string, anomaly_type string, severity string, score double, resolved boolean")
