@@ -335,3 +335,14 @@ def test_evaluation_then_detection(make, spark, tmp_path):
 def test_union_pads_missing_residual(make, spark):
     both = detect.union_alerts(rules.detect(make(*series(planted={50: -5.0}))), behavioural.detect(make(*diurnal(change=(39 * 24 + 14, 200.0))), 4.0))
     assert both.where("residual IS NOT NULL").count() == 0 and {r.method for r in both.collect()} == {"data_quality", "behavioral"}
+
+
+def test_the_forest_sample_is_drawn_by_compiled_code(spark, capsys):
+    """Two hundred hashes a row: as a function over an array they were interpreted, one by one."""
+    rows = spark.range(2000).select(F.col("id").alias("sensor_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.array(F.lit(1.0)).alias("scaled"))
+    chosen = forest.sample(rows, trees=5, size=16, seed=42)
+    chosen.explain()
+    assert "lambda" not in capsys.readouterr().out
+    draw = F.pmod(F.xxhash64("sensor_id", F.unix_timestamp("ts"), F.lit(3), F.lit(42), F.lit("cut")), F.lit(1 << 40))
+    want = [r.sensor_id for r in rows.orderBy(draw).limit(16).collect()]
+    assert sorted(r.sensor_id for r in chosen.where("tree = 3").collect()) == sorted(want)

@@ -202,3 +202,28 @@ def test_percentile_brackets_narrow_to_the_same_values(spark, monkeypatch):
     monkeypatch.setattr(medians, "_ORDERED", 50)
     percents = [0, 1, 25, 50, 90, 99.9, 100]
     assert exact_percentiles(rows, "x", percents) == pytest.approx(list(np.percentile(values, percents)), abs=1e-12)
+
+
+def test_baseline_frames_are_the_windows(spark, make, monkeypatch):
+    """Frames in arrays beside the window functions: gaps, NULLs, equal readings, chunk borders and batches of few rows."""
+    import random
+
+    rng = random.Random(7)
+    values = [round(20 + 5 * rng.random(), 2) for _ in range(900)]
+    values[400:440] = [3.25] * 40
+    values[100], values[500], values[501], values[700] = None, "gap", "gap", None
+    readings = make((1, "2016-01-01 00:00:00", values), (2, "2016-01-03 05:00:00", [7.5] * 380), (3, "2016-01-01 00:00:00", [1.0, None, 2.0]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "57")
+    try:
+        for chunk_hours in (400, ser.CHUNK_HOURS):
+            chunked = ser.chunked_grid(readings, 24 * ser.BASELINE_DAYS, 0, chunk_hours)
+            names = ("consumption_kwh", "lag_2", "rolling_24h_mean", "rolling_24h_std", "rolling_168h_mean", "z_score")
+            want = ser.own_rows(ser.add_baseline(ser.add_rolling(ser.add_lags(chunked, (2,)))), *names)
+
+            def rounded(rows):
+                return sorted((r.sensor_id, str(r.ts), *[None if r[c] is None else round(float(r[c]), 8) for c in names]) for r in rows.collect())
+
+            got = rounded(ser.baseline_frames(chunked))
+            assert got == rounded(want) and len(got) == 1283 and any(g[-1] is not None for g in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
