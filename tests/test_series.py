@@ -206,8 +206,6 @@ def test_percentile_brackets_narrow_to_the_same_values(spark, monkeypatch):
 
 def test_baseline_frames_are_the_windows(spark, make, monkeypatch):
     """Frames in arrays beside the window functions: gaps, NULLs, equal readings, chunk borders and batches of few rows."""
-    import random
-
     rng = random.Random(7)
     values = [round(20 + 5 * rng.random(), 2) for _ in range(900)]
     values[400:440] = [3.25] * 40
@@ -225,5 +223,11 @@ def test_baseline_frames_are_the_windows(spark, make, monkeypatch):
 
             got = rounded(ser.baseline_frames(chunked))
             assert got == rounded(want) and len(got) == 1283 and any(g[-1] is not None for g in got)
+            zones = spark.createDataFrame([(1, "Asia/Kolkata"), (2, "US/Eastern"), (3, "UTC")], "sensor_id long, tz string")
+            chunked = ser.chunked_grid(readings, 168, 24, chunk_hours, zones)
+            names = [*feat.LAG_COLUMNS, *feat.ROLLING_COLUMNS, *[f"target_h{h}" for h in ser.HORIZONS]]
+            want = ser.own_rows(ser.add_targets(ser.add_rolling(ser.add_lags(chunked))).where("is_origin"), *names)
+            got = rounded(ser.origin_frames(chunked, names))
+            assert got == rounded(want) and len(got) > 40
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
