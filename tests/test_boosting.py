@@ -95,3 +95,21 @@ def test_a_constant_label_needs_no_tree(spark, prepared):
     flat = spark.createDataFrame([(i, i, 1, float(i), 0.0, 0.0, 0.0, 5.0) for i in range(60)], "sensor_id long, origin_ts long, horizon int, a double, b double, c double, d double, y double")
     model = boosting.fit(flat, prepared, "y", "p")
     assert model.nodes.count() == 1 and set(predictions(model, flat)) == {5.0}
+
+
+def test_blocks_hold_every_row_once_and_a_pass_follows_only_what_it_counts(spark):
+    """State lies in blocks; rows held out have their own, and only the asked paths of a tree are walked."""
+    rng = np.random.default_rng(5)
+    ids, bins, y = np.arange(500, dtype=np.int64) * 7919, rng.integers(0, 9, (500, 3)).astype(np.uint8), rng.normal(size=500)
+    given = spark.createDataFrame([(int(i), float(v), bytearray(b.tobytes())) for i, v, b in zip(ids, y, bins)], "id long, y double, bins binary").repartition(3)
+    seen = {False: [], True: []}
+    for r in boosting._blocks(given, True).collect():
+        block, rest = np.frombuffer(r["bins"], dtype=np.uint8).reshape(3, -1), np.frombuffer(r["rest"])
+        seen[r["out"]] += [(float(v), *b) for v, b in zip(rest, block.T.tolist())]
+    apart = boosting.held_out(ids.view(np.uint64))
+    for out, found in seen.items():
+        assert sorted(found) == sorted((float(v), *b) for v, b in zip(y[apart == out], bins[apart == out].tolist()))
+    tree = (np.array([0, 1, -1, -1, -1]), np.array([4, 2, 0, 0, 0]), np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]))
+    walked = dict(boosting._parted(bins.T, tree, boosting._paths(tree, [3])))
+    assert list(walked) == [3] and walked[3].tolist() == np.flatnonzero((bins[:, 0] <= 4) & (bins[:, 1] <= 2)).tolist()
+    assert sorted(np.concatenate([rows for _, rows in boosting._parted(bins.T, tree)]).tolist()) == list(range(500))
