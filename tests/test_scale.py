@@ -71,3 +71,20 @@ def test_runs_read_the_chunks_that_were_shuffled_once(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # hours of users twice, chunks, their hours and the neighbours' share: all of them once, not again for the border runs
     assert plan.count("Generate explode(sequence(") == 5 and "ReusedExchange" in plan
+
+
+def test_companies_are_judged_once_and_examples_come_from_flagged_rows(spark):
+    """Rejections read the written verdicts, not the submitted rows again; counts and examples as the rules say."""
+    places = spark.createDataFrame([(c, "1", "2", "3", "use", "UTC") for c in ("twice", "text", "sound")], ", ".join(f"{f} string" for f in company.FIELDS))
+    hours = [f"2024-01-{d:02d} {h:02d}:00:00" for d in range(1, 9) for h in range(24)]
+    rows = [(c, s, "5") for c in ("twice", "sound") for s in hours] + [("twice", hours[9], "5")] * 2 + [("twice", hours[4], "6")]
+    rows += [("text", s, {hours[5]: "x", hours[7]: "lots"}.get(s, "5")) for s in hours]
+    energy = spark.createDataFrame(rows, "building_code string, timestamp string, energy_kwh string")
+    _, readings, rejections = company.validate(places, energy)
+    assert {r.building_code: (r.rule, r.message) for r in rejections.collect()} == {
+        "twice": ("duplicate_timestamp", "3 duplicate timestamp(s), e.g. 2024-01-01 04:00:00"),
+        "text": ("numeric_kwh", "2 non-numeric energy_kwh value(s), e.g. lots"),
+    }
+    assert readings.count() == len(hours)
+    folders = {file.rpartition("/")[0] for file in rejections.inputFiles()}
+    assert len(folders) == 1 and folders < {file.rpartition("/")[0] for file in readings.inputFiles()}
