@@ -3,12 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
-
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import column
-from joulegrid.anomalies import behavioural, residual, rules
+from joulegrid.anomalies import behavioural, forest as isolation, residual, rules
 from joulegrid.forecasting import features as feat
 from joulegrid.functions import calendar as cal
 from joulegrid.functions.medians import bracket, exact_percentiles, with_exact_median
@@ -231,3 +231,42 @@ def test_baseline_frames_are_the_windows(spark, make, monkeypatch):
             assert got == rounded(want) and len(got) > 40
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_deviation_frames_are_the_windows_and_frames_of_some_hours_those_of_all(spark, make):
+    """Median, spread and z in arrays beside the window functions; a period's frames still reach back over its start."""
+    rng = random.Random(11)
+    values = [round(20 + 5 * rng.random(), 2) for _ in range(900)]
+    values[100], values[500], values[700] = None, "gap", None
+    readings = make((1, "2016-01-01 00:00:00", values), (2, "2016-01-03 05:00:00", [7.5] * 380))
+    names = ("consumption_kwh", "baseline_median", "baseline_mad", "z_score")
+    first = 403_224  # 2016-01-01, in hours since the epoch
+
+    def rounded(rows, columns):
+        return sorted((r.sensor_id, str(r.ts), *[None if r[c] is None else round(float(r[c]), 8) for c in columns]) for r in rows.collect())
+
+    for chunk_hours in (400, ser.CHUNK_HOURS):
+        want = rounded(ser.own_rows(ser.add_baseline(ser.chunked_grid(readings, 24 * ser.BASELINE_DAYS, 0, chunk_hours)), *names), names)
+        found = behavioural.scores(readings, chunk_hours=chunk_hours)
+        assert rounded(found, names) == want and found.schema["consumption_kwh"] == readings.schema["consumption_kwh"]
+        some = [row for row in want if "2016-01-20" <= row[1] < "2016-02-02"]
+        hours = (first + 19 * 24, first + 32 * 24)
+        assert rounded(behavioural.scores(readings, chunk_hours=chunk_hours, hours=hours), names) == some and any(row[-1] is not None for row in some)
+        inputs = isolation.FEATURES
+        every = [row for row in rounded(isolation.features(readings, chunk_hours), inputs) if "2016-01-20" <= row[1] < "2016-02-02"]
+        assert rounded(isolation.features(readings, chunk_hours, hours), inputs) == every
+
+
+def test_places_of_a_packed_tree_hold_the_path_of_every_row(spark):
+    """Leaves of any depth repeat their path length on the last level."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(200, 10))
+    nodes = isolation._grow(points[:60], 0, np.random.default_rng(1))
+    feature, threshold, path, levels = isolation._packed(pd.DataFrame(nodes, columns=[c.split(" ")[0] for c in isolation.NODES.split(", ")]))[0]
+    for point in points:
+        node, at = 0, 0
+        while nodes[node][2] >= 0:
+            node = nodes[node][4] if point[nodes[node][2]] <= nodes[node][3] else nodes[node][5]
+        for _ in range(levels):
+            at = 2 * at + (1 if point[feature[at]] <= threshold[at] else 2)
+        assert path[at - (2**levels - 1)] == nodes[node][6]
